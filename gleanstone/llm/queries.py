@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanstone.llm import label_queries, time_queries
+from gleanstone.llm import label_queries, text_queries, time_queries
 
 QUERIES = {
     "p2_found": label_queries.p2_found,
@@ -10,6 +10,7 @@ QUERIES = {
     "p2_agreement": label_queries.p2_agreement,
     "p4_found": time_queries.p4_found,
     "p5_found": time_queries.p5_found,
+    "p6_found": text_queries.p6_found,
 }
 SQL = {
     "p4_found": time_queries.P4_SQL,
