@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanstone.session import cut
@@ -23,7 +23,7 @@ class Consensus:
     confusion: DataFrame  # rater, truth, row: expected counts of the given labels, prior included
 
 
-def fit(votes: DataFrame, classes: int, known: DataFrame | None = None, strength: float = 4.0, rounds: int = 25, tolerance: float = 2e-3) -> Consensus:
+def fit(votes: DataFrame, classes: int, known: DataFrame | None = None, strength: float = 4.0, rounds: int = 16, tolerance: float = 5e-3) -> Consensus:
     """Variational posteriors of item classes and rater confusion rows.
 
     ``votes`` (item, rater, label): label is a class number from 0; null items, raters or labels
@@ -35,8 +35,8 @@ def fit(votes: DataFrame, classes: int, known: DataFrame | None = None, strength
     smallest class number. An empty table gives empty results.
 
     Every round is two group-bys: labels' expected log rates are summed by item, and the item
-    posteriors are summed by rater and label. Only the model (raters x labels rows, one column
-    for each class) is cut; posteriors are derived from it again.
+    posteriors are summed by rater and label. Only the model (a row for each rater and label, an
+    array over the classes) is cut; posteriors are derived from it again.
     """
     ks = range(classes)
     votes = cut(votes.select("item", "rater", F.col("label").cast("int").alias("label")).dropna().repartition("item"))
@@ -47,49 +47,46 @@ def fit(votes: DataFrame, classes: int, known: DataFrame | None = None, strength
         prior = raters.select("rater", F.lit(0.6).alias("a"), F.lit(strength).alias("w"))
     prior = cut(prior)
 
-    def shares(q: list[Column]) -> list[Column]:
-        top = F.greatest(*q)
-        total = sum(F.exp(c - top) for c in q)
-        return [F.exp(c - top) / total for c in q]
-
     def counts(posterior: DataFrame) -> DataFrame:
-        """rater, label, n0..: expected number of votes by true class."""
-        return votes.join(posterior, "item").groupBy("rater", "label").agg(*[F.sum(f"q{k}").alias(f"n{k}") for k in ks])
+        """rater, label, truth, n: expected number of votes by true class."""
+        n = votes.join(posterior, "item").groupBy("rater", "label").agg(*[F.sum(F.get("q", F.lit(k))).alias(f"n{k}") for k in ks])
+        return n.select("rater", "label", F.posexplode(F.array(*[f"n{k}" for k in ks])).alias("truth", "n"))
 
     def model(n: DataFrame) -> DataFrame:
-        """rater, label, e0..: expected log probability of the label by true class; s0..: that of the class."""
-        p = n.join(prior, "rater")
-        alpha = [F.col("w") * F.when(F.col("label") == k, F.col("a")).otherwise((1 - F.col("a")) / max(1, classes - 1)) for k in ks]
-        full = p.groupBy("rater").agg(*[F.sum(f"n{k}").alias(f"t{k}") for k in ks])
-        mass = n.agg(*[F.sum(f"n{k}").alias(f"m{k}") for k in ks], *[F.lit(1).alias("one")])
-        rows = p.join(full, "rater").withColumn("one", F.lit(1)).join(mass, "one")
-        total = sum(F.col(f"m{k}") for k in ks) + classes
-        # class shares count votes, so that items with more votes weigh more; the prior stays flat
-        return rows.select(
-            "rater", "label", *[(digamma(alpha[k] + F.col(f"n{k}")) - digamma(F.col("w") + F.col(f"t{k}"))).alias(f"e{k}") for k in ks],
-            *[(digamma(F.col(f"m{k}") + 1) - digamma(total)).alias(f"s{k}") for k in ks], *[F.col(f"n{k}") for k in ks],
-        )
+        """rater, label, n, e, s: by true class the votes, their expected log rate and the class's expected log share."""
+        full = n.groupBy("rater", "truth").agg(F.sum("n").alias("t"))
+        share = n.groupBy("truth").agg(F.sum("n").alias("m"))
+        share = share.withColumn("all", F.sum("m").over(Window.partitionBy(F.lit(1))))
+        x = n.join(prior, "rater").join(full, ["rater", "truth"]).join(share, "truth")
+        alpha = F.col("w") * F.when(F.col("label") == F.col("truth"), F.col("a")).otherwise((1 - F.col("a")) / max(1, classes - 1))
+        # class shares count votes, so that items with more votes weigh more; their prior is flat
+        x = x.select("rater", "label", "truth", "n", (alpha + F.col("n")).alias("up"), (F.col("w") + F.col("t")).alias("down"), (F.col("m") + 1).alias("m"), (F.col("all") + classes).alias("all"))
+        x = x.select("rater", "label", "truth", "n", (digamma(F.col("up")) - digamma(F.col("down"))).alias("e"), (digamma(F.col("m")) - digamma(F.col("all"))).alias("s"))
+        rows = F.array_sort(F.collect_list(F.struct("truth", "n", "e", "s")))
+        return x.groupBy("rater", "label").agg(rows.alias("x")).select("rater", "label", *[F.col(f"x.{c}").alias(c) for c in "nes"])
 
     def posterior(m: DataFrame) -> DataFrame:
-        sums = votes.join(m, ["rater", "label"]).groupBy("item").agg(*[(F.sum(f"e{k}") + F.first(f"s{k}")).alias(f"l{k}") for k in ks])
-        return sums.select("item", *[c.alias(f"q{k}") for k, c in zip(ks, shares([F.col(f"l{k}") for k in ks]))])
-
-    first = votes.groupBy("item").agg(*[F.avg((F.col("label") == k).cast("double")).alias(f"q{k}") for k in ks])
-    now = cut(model(counts(first)))
-    for _ in range(rounds):
+        sums = votes.join(m, ["rater", "label"]).groupBy("item").agg(*[(F.sum(F.get("e", F.lit(k))) + F.first(F.get("s", F.lit(k)))).alias(f"l{k}") for k in ks])
+        q = sums.select("item", F.array(*[f"l{k}" for k in ks]).alias("l"))
+        q = q.select("item", F.transform("l", lambda x: F.exp(x - F.array_max("l"))).alias("w"))
+        return q.select("item", F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda a, b: a + b)).alias("q"))
+
+    shares = votes.groupBy("item").agg(*[F.avg((F.col("label") == k).cast("double")).alias(f"q{k}") for k in ks])
+    now = cut(model(counts(shares.select("item", F.array(*[f"q{k}" for k in ks]).alias("q")))))
+    for done in range(1, rounds + 1):
         old, now = now, cut(model(counts(posterior(now))))
-        moved = old.select("rater", "label", *[F.col(f"n{k}").alias(f"o{k}") for k in ks]).join(now, ["rater", "label"])
-        change = moved.agg(F.max(F.greatest(*[F.abs(F.col(f"n{k}") - F.col(f"o{k}")) for k in ks]) / (F.greatest(*[F.col(f"n{k}") for k in ks]) + 1))).first()[0]
-        if change is None or change < tolerance:
-            break
-    q = posterior(now).select("item", F.array(*[f"q{k}" for k in ks]).alias("q"))
-    by_label = now.join(prior, "rater").groupBy("rater", "a", "w").agg(F.map_from_entries(F.collect_list(F.struct("label", F.array(*[f"n{k}" for k in ks])))).alias("n"))
-    rows = by_label.select("rater", "a", "w", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("truth"), "n")
-    given = F.transform(
+        if done % 4 == 0:
+            moved = old.select("rater", "label", F.col("n").alias("o")).join(now, ["rater", "label"]).select(F.explode(F.arrays_zip("o", "n")).alias("z"))
+            change = moved.agg(F.max(F.abs(F.col("z.n") - F.col("z.o")) / (F.col("z.n") + 1))).first()[0]
+            if change is None or change < tolerance:
+                break
+    given = now.join(prior, "rater").groupBy("rater", "a", "w").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("n"))
+    rows = given.select("rater", "a", "w", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("truth"), "n")
+    row = F.transform(
         F.sequence(F.lit(0), F.lit(classes - 1)),
         lambda j: F.coalesce(F.get(F.try_element_at("n", j), F.col("truth")), F.lit(0.0)) + F.col("w") * F.when(j == F.col("truth"), F.col("a")).otherwise((1 - F.col("a")) / max(1, classes - 1)),
     )
-    return Consensus(q, rows.select("rater", "truth", given.alias("row")))
+    return Consensus(posterior(now), rows.select("rater", "truth", row.alias("row")))
 
 
 def reliability(c: Consensus, z: float = 1.96) -> DataFrame:
