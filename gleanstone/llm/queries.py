@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanstone.llm import label_queries, text_queries, time_queries
+from gleanstone.llm import label_queries, leak_queries, text_queries, time_queries
 
 QUERIES = {
     "p2_found": label_queries.p2_found,
@@ -11,6 +11,7 @@ QUERIES = {
     "p4_found": time_queries.p4_found,
     "p5_found": time_queries.p5_found,
     "p6_found": text_queries.p6_found,
+    "p7_found": leak_queries.p7_found,
 }
 SQL = {
     "p4_found": time_queries.P4_SQL,
