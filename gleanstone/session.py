@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,25 @@ def local_session(cores: str = "*", app: str = "gleanstone") -> SparkSession:
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        here = Path(__file__).resolve().parent
+        archive = os.path.join(tempfile.mkdtemp(prefix="gleanstone-"), "gleanstone.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent))
+        sc.addPyFile(archive)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir`` (one file or a folder of files)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
