@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanstone.llm import label_queries, leak_queries, text_queries, time_queries
+from gleanstone.llm import corpus_queries, label_queries, leak_queries, text_queries, time_queries
 
 QUERIES = {
     "p2_found": label_queries.p2_found,
@@ -12,6 +12,10 @@ QUERIES = {
     "p5_found": time_queries.p5_found,
     "p6_found": text_queries.p6_found,
     "p7_found": leak_queries.p7_found,
+    "p8_mixes": corpus_queries.p8_mixes,
+    "p8_selection": corpus_queries.p8_selection,
+    "p9_found": corpus_queries.p9_found,
+    "p9_statistics": corpus_queries.p9_statistics,
 }
 SQL = {
     "p4_found": time_queries.P4_SQL,
