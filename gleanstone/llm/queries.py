@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gleanstone.llm import corpus_queries, label_queries, leak_queries, text_queries, time_queries
+from gleanstone.llm import corpus_queries, label_queries, leak_queries, pair_queries, text_queries, time_queries
 
 QUERIES = {
     "p2_found": label_queries.p2_found,
     "p2_raters": label_queries.p2_raters,
     "p2_agreement": label_queries.p2_agreement,
+    "p3_found": pair_queries.p3_found,
+    "p3_defects": pair_queries.p3_defects,
     "p4_found": time_queries.p4_found,
     "p5_found": time_queries.p5_found,
     "p6_found": text_queries.p6_found,
