@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from gleanstone.plans.base import QUERIES, SQL
 
-from gleanstone.plans import evidence
+for _m in ("evidence", "windows", "joins", "aggregates", "ordering", "scalars", "checker", "statistics", "models", "sampling", "scans", "geometry"):
+    import_module(f"gleanstone.plans.{_m}")
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {"p1_found": evidence.p1_found}
-SQL: dict[str, str] = {"p1_found": evidence.P1_SQL}
+__all__ = ["QUERIES", "SQL"]
