@@ -29,27 +29,34 @@ PROFILES = np.array([np.array(v, float) / sum(v) for v in LETTERS.values()])
 KINDS = ("prose", "list", "table", "junk")
 STRUCTURE = np.array([[0.90, 0.07, 0.02, 0.01], [0.10, 0.84, 0.05, 0.01], [0.03, 0.05, 0.90, 0.02], [0.03, 0.03, 0.04, 0.90]])
 
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+WORD = re.compile(r"[a-zß-ɏͰ-῿぀-鿿가-힣]+(?:['’][a-zß-ɏ]+)?")  # of texts in lower case; plain ranges are much faster than classes
 BULLET = re.compile(r"\s*(?:[-*+•‣▪●○◦·→–—✓✔☐☑□■]|\[[ xX✓]?\]|\(?\d{1,3}[.):]|\(?[a-zA-Z][.)]|[ivxIVX]{1,4}[.)])\s+\S")
 FIELDS = re.compile(r"\||\t|;(?=\S)| {3,}|,(?=\S)|(?<=\d),\s|\s=\s|=(?=\S)|\":|\{|\}")
-NUMBER = re.compile(r"(?<![^\W\d_])\d+(?:[.,:]\d+)*")
+NUMBER = re.compile(r"\b\d+(?:[.,:]\d+)*")
 HEX = re.compile(r"\b[0-9a-f]{2}\b|\b[0-9a-f]{8}:")
 LONG = re.compile(r"\S{45,}")
 TAG = re.compile(r"<[^<>]{1,200}>")
 STOP = re.compile(r"(?:[.!?…。！？]|ครับ|ค่ะ|คะ)(?=[\"'”»“)\]』」]*(?:\s|$|[぀-鿿]))")
 STRETCH = re.compile(r"[฀-๿぀-ヿ㐀-鿿]{4,}")
 ODD = re.compile(r"[^\w\s.,;:!?'\"“”‘’„«»()¿¡。、！？「」…\-฀-๿]")
-SIGNS = [0xA1, 0xAB, 0xB7, 0xBB, 0xBF, 0xBA, 0xAA, 0xB0, 0xA7]
+SIGNS = [0xA0, 0xA1, 0xAB, 0xB7, 0xBB, 0xBF, 0xBA, 0xAA, 0xB0, 0xA7]
 SPACELESS = re.compile(r"[฀-๿぀-ヿ㐀-鿿]")
 
 
-def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits, over the last axis."""
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.where(p > 0, p * np.log2(p / m), 0).sum(-1)
-        b = np.where(q > 0, q * np.log2(q / m), 0).sum(-1)
-    return (a + b) / 2
+def _entropy(p: np.ndarray) -> np.ndarray:
+    return -(p * np.log2(p + 1e-300)).sum(-1)
+
+
+def divergence(p: np.ndarray, q: np.ndarray, of_q: np.ndarray | None = None) -> np.ndarray:
+    """Jensen-Shannon divergence in bits, over the last axis; ``of_q`` is the entropy of q where it is known."""
+    return _entropy((p + q) / 2) - (_entropy(p) + (_entropy(q) if of_q is None else of_q)) / 2
+
+
+PROFILE_ENTROPY, STRUCTURE_ENTROPY = _entropy(PROFILES), _entropy(STRUCTURE)
+BROKEN = np.zeros(0x110000, bool)  # replacement characters, controls, and signs that stand where letters were decoded wrongly
+BROKEN[0xFFFD] = True
+BROKEN[0x80:0xC0] = True
+BROKEN[SIGNS] = False
 
 
 class Facts:
@@ -69,7 +76,7 @@ class Facts:
         low = np.bincount(np.frombuffer("".join(self.words).encode("utf-16-le", "replace"), np.uint16), minlength=0x250)
         shares = np.append(low[97:123], low[0xDF:0x250].sum() - low[0xF7])
         self.n = int(shares.sum())
-        self.far = float(divergence(shares / self.n, PROFILES).min()) if self.n else 1.0
+        self.far = float(divergence(shares / self.n, PROFILES, PROFILE_ENTROPY).min()) if self.n else 1.0
 
 
 def unreadable(f: Facts) -> bool:
@@ -80,8 +87,7 @@ def unreadable(f: Facts) -> bool:
     if bare is not text and len(bare.strip()) < 0.3 * len(text.strip()) and len(TAG.findall(text)) >= 3:
         return True
     size = len(ink) if bare is text else len(bare.replace(" ", "")) or 1
-    broken = (ink == 0xFFFD) | ((ink >= 0x80) & (ink < 0xA0)) | ((ink >= 0xA1) & (ink <= 0xBF) & ~np.isin(ink, SIGNS))
-    if broken.mean() > 0.08:
+    if np.count_nonzero(BROKEN[ink]) > 0.08 * len(ink):
         return True
     if f.digits > 0.2 * size and sum(map(len, HEX.findall(text))) > 0.6 * size:
         return True
@@ -105,12 +111,17 @@ def unreadable(f: Facts) -> bool:
 AHEAD = re.compile(r"^\s*(?:>+\s?|\[\d+(?:[.:]\d+)*\s?s?\]\s?)+")  # quotation and time marks before a line
 INNER = re.compile(STOP.pattern + r"[\"'”»“)\]』」]*\s*\S")
 PAIR = re.compile(r"\s*[\w.]{1,60}\s*[=:]\s*\S{1,40}\s*$")
+DIGIT = re.compile(r"\d")
+STRONG = re.compile(r"[|\t;={}]|,\S|   ")
 RULE = re.compile(r"[|\-+=: ]{5,}$")
 
 
 def record(body: str) -> bool:
     """Whether a line is a row of fields: separators and numbers, hardly any function word."""
-    seps, numbers = len(FIELDS.findall(body)), len(NUMBER.findall(body))
+    numbers = len(NUMBER.findall(body)) if DIGIT.search(body) else 0
+    if not numbers and not STRONG.search(body) and not RULE.match(body):
+        return False
+    seps = len(FIELDS.findall(body))
     if seps + numbers == 0:
         return False
     if seps + numbers < 2:
@@ -182,7 +193,7 @@ def describe(text: str) -> tuple:
     else:
         common, far = f.known / max(1, len(f.words)), f.far
     kinds = structure(f)
-    near = divergence(kinds[None, :], STRUCTURE)
+    near = divergence(kinds[None, :], STRUCTURE, STRUCTURE_ENTROPY)
     return (
         len(f.words), round(f.letters / max(1, len(f.words)), 4), round(marks / ink, 4), round(sum(bool(STOP.search(x.rstrip()[-6:])) for x in lines) / max(1, len(lines)), 4),
         round(common, 4), len(lines), len(text), round(far, 4), *(round(float(x), 4) for x in near), KINDS[int(near.argmin())],
