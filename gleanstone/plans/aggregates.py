@@ -119,7 +119,7 @@ def agg14(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").agg(F.count(c).alias("n"), _r(F.avg(c)).alias("mean"), _r(F.stddev_samp(c)).alias("sd"), F.min(c).alias("low"), _r(F.median(c)).alias("middle"), F.max(c).alias("high"))
 
 
-SHARES = f"""WITH {BEHAVIOURS}, p AS (SELECT key, type, value, sum(dur) AS sec FROM behaviours GROUP BY 1, 2, 3), shares AS (SELECT *, CASE WHEN sum(sec) OVER (PARTITION BY key, type) = 0 THEN 0.0 ELSE sec / sum(sec) OVER (PARTITION BY key, type) END AS share FROM p)"""
+SHARES = f"""WITH {BEHAVIOURS}, per_state AS (SELECT key, type, value, sum(dur) AS sec FROM behaviours GROUP BY 1, 2, 3), shares AS (SELECT *, CASE WHEN sum(sec) OVER (PARTITION BY key, type) = 0 THEN 0.0 ELSE sec / sum(sec) OVER (PARTITION BY key, type) END AS share FROM per_state)"""
 
 
 def state_shares(spark: SparkSession, d: str) -> DataFrame:
