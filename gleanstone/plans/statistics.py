@@ -224,4 +224,4 @@ def ver17(spark: SparkSession, d: str) -> DataFrame:
     n = i.count()
     s = i.select("j", F.explode(F.sequence(F.lit(0), F.lit(BOOT - 1))).alias("b")).select("b", (draw(F.col("b"), F.col("j")) % max(n, 1)).alias("j"))
     m = s.join(i, "j").groupBy("b").agg(F.avg("d").alias("m"))
-    return m.agg(*[F.round(F.expr(f"percentile(m, {p})"), 9).alias(c) for c, p in (("low", 0.025), ("high", 0.975))]).where(F.lit(n >= 3))
+    return m.agg(*[F.when(F.lit(n >= 3), F.round(F.expr(f"percentile(m, {p})"), 9)).alias(c) for c, p in (("low", 0.025), ("high", 0.975))])
