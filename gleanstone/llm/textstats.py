@@ -94,7 +94,7 @@ def unreadable(f: Facts) -> bool:
     if f.spaceless > 0.3 * len(ink):
         # in a script without spaces letters hang together in stretches
         return len(ink) > 40 and sum(map(len, STRETCH.findall(text))) < 0.5 * f.spaceless
-    if f.letters < 0.25 * size and f.digits < 0.15 * size:
+    if f.letters < 0.25 * size and f.digits < 0.15 * size and text.count("|") < 0.15 * size:
         return True
     if not f.words:
         return f.digits == 0
