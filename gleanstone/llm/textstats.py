@@ -109,7 +109,7 @@ def unreadable(f: Facts) -> bool:
 
 
 AHEAD = re.compile(r"^\s*(?:>+\s?|\[\d+(?:[.:]\d+)*\s?s?\]\s?)+")  # quotation and time marks before a line
-INNER = re.compile(STOP.pattern + r"[\"'”»“)\]』」]*\s*\S")
+INNER = re.compile(r"(?:[^\W\d_]{3}[\"'”»“)]*[.!?…]|[。！？]|ครับ|ค่ะ|คะ)[\"'”»“)\]』」]*(?:\s+\S|(?<=[。！？])[^\s」』])")  # a stop behind a whole word, with more behind it
 PAIR = re.compile(r"\s*[\w.]{1,60}\s*[=:]\s*\S{1,40}\s*$")
 DIGIT = re.compile(r"\d")
 STRONG = re.compile(r"[|\t;={}]|,\S|   ")
@@ -161,9 +161,9 @@ def structure(f: Facts) -> np.ndarray:
         lengths = [len(x) for x in plain]
         top = max(lengths)
         # lines of about one width break in the middle of sentences: wrapped prose
-        wrapped = len(plain) >= 3 and 30 <= top <= 130 and sum(n >= top - 16 for n in lengths) >= 0.6 * (len(plain) - 1)
+        wrapped = len(plain) >= 3 and 45 <= top * wide and top <= 130 and sum(n >= top - 16 for n in lengths) >= 0.6 * (len(plain) - 1)
         for x in plain:
-            if len(plain) >= 4 and inner <= 0.1 * len(plain) and ended < 0.5 * len(plain) and not wrapped and len(x) * wide <= 140:
+            if len(plain) >= 4 and inner <= 0.1 * len(plain) and ended < 0.5 * len(plain) and not wrapped and len(x) * wide <= 110:
                 kind = 1
             elif STOP.search(x) and len(STOP.findall(x)) * 120 > len(x):
                 kind = 0
