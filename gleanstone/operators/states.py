@@ -1,22 +1,17 @@
 """Intervals from state series: run-length encoding, suppression, blinks, gap merging, episodes, shares.
 
-All functions take and give DataFrames with a key column, so that Catalyst plans one exchange on
-the key and shares it between the steps. A null key is a key of its own; nulls in time or state
-leave a row out; repeated rows and ties in time change nothing but the order among equals; an
-empty table gives an empty result.
+All functions take and give DataFrames with a key column. A null key is a key of its own; nulls in
+time or state leave a row out; repeated rows and ties in time change nothing but the order among
+equals; an empty table gives an empty result. The ordered scans spread a key that holds a third of
+all rows over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-UP_TO_HERE = (Window.unboundedPreceding, 0)
-
-
-def _islands(df: DataFrame, key: str, order: list[str], new: Column) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_new", new.cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(*UP_TO_HERE))).drop("_new")
+from gleanstone.operators.run_scan import closed_runs
 
 
 def rle(df: DataFrame, key: str = "key", t: str = "t", state: str = "state") -> DataFrame:
@@ -24,31 +19,32 @@ def rle(df: DataFrame, key: str = "key", t: str = "t", state: str = "state") ->
 
     An interval ends where the next state begins; the last one at the last frame.
     """
-    df = df.where(F.col(t).isNotNull() & F.col(state).isNotNull())
-    w = Window.partitionBy(key).orderBy(t)
-    df = _islands(df, key, [t], ~F.lag(state).over(w).eqNullSafe(F.col(state)))
-    runs = df.groupBy(key, "_island").agg(F.first(state).alias(state), F.min(t).alias("start"), F.max(t).alias("_last"))
-    by = Window.partitionBy(key).orderBy("_island")
-    runs = runs.withColumn("end", F.coalesce(F.lead("start").over(by), F.col("_last")))
-    return runs.select(key, state, "start", "end", (F.col("end") - F.col("start")).alias("dur"))
+    return closed_runs(df, [key], state, t, t, tile=True)
 
 
 def _rejoin(df: DataFrame, key: str, state: str) -> DataFrame:
     """Merge neighbours of one state in intervals that tile the time."""
-    w = Window.partitionBy(key).orderBy("start")
-    df = _islands(df, key, ["start"], ~F.lag(state).over(w).eqNullSafe(F.col(state)))
-    return df.groupBy(key, "_island").agg(F.first(state).alias(state), F.min("start").alias("start"), F.max("end").alias("end")).drop("_island").withColumn("dur", F.col("end") - F.col("start"))
+    return closed_runs(df, [key], state, "start", "end")
 
 
 def suppress_short(df: DataFrame, least: float, key: str = "key", state: str = "state") -> DataFrame:
-    """Intervals shorter than ``least`` go to the one before them; a short first one stays."""
-    w = Window.partitionBy(key).orderBy("start")
-    last = F.max("end").over(Window.partitionBy(key))
-    kept = df.withColumn("_end", last).withColumn("_n", F.row_number().over(w)).where((F.col("_n") == 1) | (F.col("dur") >= least))
-    kept = _islands(kept, key, ["start"], ~F.lag(state).over(w).eqNullSafe(F.col(state)))
-    out = kept.groupBy(key, "_island").agg(F.first(state).alias(state), F.min("start").alias("start"), F.first("_end").alias("_end"))
-    out = out.withColumn("end", F.coalesce(F.lead("start").over(w), F.col("_end")))
-    return out.select(key, state, "start", "end", (F.col("end") - F.col("start")).alias("dur"))
+    """Intervals shorter than ``least`` go to the one before them; a short first one stays.
+
+    What is kept is encoded again; the key's last run then ends where all its intervals end.
+    """
+    whole = df.groupBy(key).agg(F.min("start").alias("_first"), F.max("end").alias("_last")).withColumnRenamed(key, "_k")
+    marked = df.join(whole, F.col(key).eqNullSafe(F.col("_k")))
+    kept = marked.where((F.col("start") == F.col("_first")) | (F.col("dur") >= least)).select(key, state, "start", "_last")
+    runs = closed_runs(kept, [key], state, "start", "start", tile=True)
+    # a key's last run ends at its last start so far; the end of all its intervals takes that place
+    last = kept.groupBy(key).agg(F.max("start").alias("_start"), F.first("_last").alias("_end")).withColumnRenamed(key, "_k")
+    runs = runs.join(last, F.col(key).eqNullSafe(F.col("_k")))
+    end = F.when(F.col("end") == F.col("_start"), F.col("_end")).otherwise(F.col("end"))
+    # only the last run ends at a start that opens no other run
+    nxt = runs.select(F.col(key).alias("_nk"), F.col("start").alias("_ns")).distinct()
+    tail = runs.join(nxt, F.col(key).eqNullSafe(F.col("_nk")) & (F.col("end") == F.col("_ns")) & (F.col("start") < F.col("end")), "left")
+    runs = tail.withColumn("end", F.when(F.col("_ns").isNull(), end).otherwise(F.col("end")))
+    return runs.select(key, state, "start", "end", (F.col("end") - F.col("start")).alias("dur"))
 
 
 def relabel_short(df: DataFrame, short: str, to: str, least: float, key: str = "key", state: str = "state") -> DataFrame:
@@ -57,15 +53,19 @@ def relabel_short(df: DataFrame, short: str, to: str, least: float, key: str = "
 
 
 def resolve_blinks(df: DataFrame, blink: str, default: str, away: str, longest: float, key: str = "key", state: str = "state") -> DataFrame:
-    """Short runs of ``blink`` take the state before them (at the head the one behind, else ``default``); long ones are ``away``."""
+    """Short runs of ``blink`` take the state before them (at the head the one behind, else ``default``); long ones are ``away``.
+
+    Run-length encoded intervals tile the time, so the run before a blink is the one that ends at
+    its start and the run behind it the one that starts at its end: equality joins find them.
+    """
     runs = rle(df, key=key, state=state)
-    w = Window.partitionBy(key).orderBy("start")
-    other = F.when(F.col(state) != blink, F.col(state))
-    before = F.last(other, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(other, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    before = runs.where(F.col(state) != blink).select(F.col(key).alias("_bk"), F.col("end").alias("_be"), F.col(state).alias("_before"))
+    behind = runs.where(F.col(state) != blink).select(F.col(key).alias("_ak"), F.col("start").alias("_as"), F.col(state).alias("_behind"))
     is_blink = F.col(state) == blink
-    new = F.when(is_blink & (F.col("dur") >= longest), away).when(is_blink, F.coalesce(before, after, F.lit(default))).otherwise(F.col(state))
-    return _rejoin(runs.withColumn(state, new), key, state)
+    runs = runs.join(before, F.col(key).eqNullSafe(F.col("_bk")) & (F.col("start") == F.col("_be")) & is_blink, "left")
+    runs = runs.join(behind, F.col(key).eqNullSafe(F.col("_ak")) & (F.col("end") == F.col("_as")) & is_blink, "left")
+    new = F.when(is_blink & (F.col("dur") >= longest), away).when(is_blink, F.coalesce("_before", "_behind", F.lit(default))).otherwise(F.col(state))
+    return _rejoin(runs.select(key, new.alias(state), "start", "end"), key, state)
 
 
 def merge_gaps(df: DataFrame, gap: float, key: list[str] | str = "key", state: str = "state") -> DataFrame:
@@ -73,16 +73,7 @@ def merge_gaps(df: DataFrame, gap: float, key: list[str] | str = "key", state: s
 
     A different state in between keeps them apart.
     """
-    keys = [key] if isinstance(key, str) else key
-    df = df.withColumn("_k", F.struct(*keys))
-    w = Window.partitionBy("_k").orderBy("start", "end", state)
-    df = _islands(df, "_k", ["start", "end", state], ~F.lag(state).over(w).eqNullSafe(F.col(state)))
-    inner = Window.partitionBy("_k", "_island").orderBy("start", "end")
-    reach = F.max("end").over(inner.rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("_cut", (reach.isNull() | (F.col("start") - reach > gap)).cast("int"))
-    df = df.withColumn("_part", F.sum("_cut").over(inner.rowsBetween(*UP_TO_HERE)))
-    out = df.groupBy(*keys, "_island", "_part").agg(F.first(state).alias(state), F.min("start").alias("start"), F.max("end").alias("end"))
-    return out.select(*keys, state, "start", "end", (F.col("end") - F.col("start")).alias("dur"))
+    return closed_runs(df, [key] if isinstance(key, str) else key, state, "start", "end", gap)
 
 
 def episodes(df: DataFrame, least: float, gap: float, key: list[str] | str = "key", state: str = "state") -> DataFrame:

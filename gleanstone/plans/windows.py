@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanstone.operators import states as S
+from gleanstone.operators.run_scan import closed_runs
 from gleanstone.plans.base import BEHAVIOURS, FRAMES, behaviours, frames, query
 from gleanstone.session import table
 
@@ -143,10 +144,12 @@ i AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDIN
 SELECT key, round(min(t), 3) AS start, round(max(t), 3) AS "end", count(*) AS n FROM i WHERE quiet GROUP BY key, isl HAVING max(t) - min(t) >= 1800""")
 def win11(spark: SparkSession, d: str) -> DataFrame:
     """Islands of values under an adaptive threshold."""
-    q = frames(spark, d).withColumn("state", (F.col("value") < F.greatest(F.lit(50.0), F.avg("value").over(Window.partitionBy("key")) - 15)).cast("string"))
-    w = Window.partitionBy("key").orderBy("t")
-    i = S._islands(q, "key", ["t"], ~F.lag("state").over(w).eqNullSafe(F.col("state"))).where("state = 'true'")
-    return i.groupBy("key", "_island").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n")).where("end - start >= 1800").select("key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n")
+    f = frames(spark, d)
+    mean = f.groupBy("key").agg(F.avg("value").alias("mean"))
+    q = f.join(mean, "key").select("key", "t", (F.col("value") < F.greatest(F.lit(50.0), F.col("mean") - 15)).cast("string").alias("state"))
+    runs = closed_runs(q, ["key"], "state", "t", "t").where("state = 'true' AND dur >= 1800")
+    n = q.where("state = 'true'").join(runs.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("t").between(F.col("start"), F.col("end")))
+    return n.groupBy("key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end")).agg(F.count("*").alias("n"))
 
 
 @query("win12", EPISODES + """ , a AS (SELECT 'E' AS p, key, type, value, start FROM ep UNION ALL SELECT DISTINCT 'P', key, type, value, start FROM evidence WHERE type = 'pause' AND start IS NOT NULL)

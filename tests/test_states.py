@@ -73,3 +73,13 @@ def test_only_blinks_and_empty(spark):
 def test_shares(spark):
     df = spark.createDataFrame([("k", "a", 3.0), ("k", "b", 1.0), ("z", "a", 0.0)], "key string, state string, dur double")
     assert {(r["key"], r["state"]): r["share"] for r in S.shares(df, ["key"], "state").collect()} == {("k", "a"): 0.75, ("k", "b"): 0.25, ("z", "a"): 0.0}
+
+
+def test_many_keys_hot_and_null(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", "b", None]), rng.choice([1, 2]), rng.choice("xxy"), float(t := rng.randint(0, 900)), float(t + rng.choice([0, 1, 4, 30]))) for _ in range(700)]
+    df = spark.createDataFrame(rows, "k string, n int, state string, start double, end double").selectExpr("*", "1 AS _p", "'z' AS _key")
+    want = set()
+    for g in {r[:2] for r in rows}:
+        want |= {(*g, *x) for x in fold_merge([r[2:] for r in rows if r[:2] == g], 2.0)}
+    assert {tuple(r) for r in S.merge_gaps(df, 2.0, ["k", "n"]).select("k", "n", "state", "start", "end").collect()} == want
