@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def group_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Average ranks within the groups ``keys``."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    return df.withColumn(name, F.rank().over(w) + (ties - 1) / 2)
-
+from gleanstone.operators.ranking import group_ranks
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n, rho: Spearman's rank correlation over rows with both values; null where a side is constant."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanstone.functions.scoring import weighted_fusion
 from gleanstone.operators import states as S
+from gleanstone.operators.ranking import numbered, previous
 from gleanstone.plans.base import BEHAVIOURS, behaviours, query
 from gleanstone.plans.joins import CLAIMS, claims, points, POINTS
 from gleanstone.session import table
@@ -156,7 +157,7 @@ def agg17(spark: SparkSession, d: str) -> DataFrame:
 SELECT key, round(count(*) FILTER (value <> 'hands_hidden') / count(*), 9) AS presence, round(avg(CASE WHEN start > p THEN dur / (start - p) END), 9) AS speed, round(stddev_pop(dur), 9) AS fidget FROM h GROUP BY key""")
 def agg18(spark: SparkSession, d: str) -> DataFrame:
     """Hand features: presence, mean speed over positive steps, fidget."""
-    h = behaviours(spark, d).where("type = 'hand'").withColumn("p", F.lag("start").over(Window.partitionBy("key").orderBy("start", "evidence_id")))
+    h = previous(behaviours(spark, d).where("type = 'hand'"), ["key"], ["start", "evidence_id"], {"p": "start"})
     return h.groupBy("key").agg(_r(F.count_if(F.col("value") != "hands_hidden") / F.count("*")).alias("presence"), _r(F.avg(F.when(F.col("start") > F.col("p"), F.col("dur") / (F.col("start") - F.col("p"))))).alias("speed"), _r(F.stddev_pop("dur")).alias("fidget"))
 
 
@@ -174,13 +175,15 @@ q AS (SELECT key, any_value(n) AS n, max(CASE WHEN r = floor(p1) THEN dur END) +
 SELECT h.key, round(any_value(q1), 9) AS q1, round(any_value(q3), 9) AS q3, round(median(dur), 9) AS middle, round(stddev_pop(dur) FILTER (dur BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), 9) AS robust_sd, round(max(dur) - min(dur), 9) AS span FROM h JOIN q USING (key) GROUP BY h.key""")
 def agg20(spark: SparkSession, d: str) -> DataFrame:
     """Head features: exclusive quartiles (position p (n + 1)), deviation within the whiskers, median, range."""
-    w = Window.partitionBy("key")
-    h = behaviours(spark, d).where("type = 'head'").select("key", "dur").withColumn("r", F.row_number().over(w.orderBy("dur"))).withColumn("n", F.count("*").over(w))
+    h = numbered(behaviours(spark, d).where("type = 'head'").select("key", "dur"), ["key"], ["dur"], "r")
+    n = h.groupBy("key").agg(F.count("*").alias("n"))
+    at, parts = h.join(n, "key"), []
     for name, share in (("q1", 0.25), ("q3", 0.75)):
         p = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), share * (F.col("n") + 1)))
-        at = lambda k, p=p: F.max(F.when(F.col("r") == k, F.col("dur"))).over(w)
-        low, high = at(F.floor(p)), at(F.least(F.col("n"), F.floor(p) + 1))
-        h = h.withColumn(name, low + (p - F.floor(p)) * (high - low))
+        pick = lambda k: F.max(F.when(F.col("r") == k, F.col("dur")))
+        low, high = pick(F.floor(p)), pick(F.least(F.col("n"), F.floor(p) + 1))
+        parts.append((low + (F.max(p) - F.floor(F.max(p))) * (high - low)).alias(name))
+    h = h.join(at.groupBy("key").agg(*parts), "key")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.when(F.col("dur").between(F.col("q1") - reach, F.col("q3") + reach), F.col("dur"))
     return h.groupBy("key").agg(_r(F.first("q1")).alias("q1"), _r(F.first("q3")).alias("q3"), _r(F.median("dur")).alias("middle"), _r(F.stddev_pop(inside)).alias("robust_sd"), _r(F.max("dur") - F.min("dur")).alias("span"))
@@ -196,7 +199,7 @@ count(*) FILTER (gap >= 2.0) AS long_pauses, round(coalesce(sum(gap) FILTER (gap
 def agg21(spark: SparkSession, d: str) -> DataFrame:
     """Speech features of each clip."""
     w = table(spark, d, "evidence").where("type = 'word'").select("evidence_id", "key", "start", "end", F.lower(F.expr("trim(BOTH '.,!?\"() ' FROM value)")).alias("w")).distinct()
-    g = w.withColumn("gap", F.col("start") - F.lag("end").over(Window.partitionBy("key").orderBy("start", "evidence_id")))
+    g = previous(w, ["key"], ["start", "evidence_id"], {"p": "end"}).withColumn("gap", F.col("start") - F.col("p"))
     long, filler = F.col("gap") >= 0.5, F.col("w").isin(*FILLERS)
     return g.groupBy("key").agg(
         F.count("*").alias("word_count"), _r(F.max("end"), 4).alias("duration"), _r(F.count("*") / (F.max("end") / 60), 4).alias("wpm"), _r(F.count("*") / (F.sum(F.col("end") - F.col("start")) / 60), 4).alias("articulation"),

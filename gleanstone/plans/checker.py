@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanstone.functions import claims as C
 from gleanstone.functions.draws import draw, draw_sql
 from gleanstone.operators.interval_join import overlap_join
+from gleanstone.operators.ranking import numbered
 from gleanstone.plans.aggregates import SHARES, state_shares
 from gleanstone.plans.base import BEHAVIOURS, behaviours, query
 from gleanstone.plans.joins import ALERTS, CLAIMS, LABELS, POINTS, alerts, claims, matches, points, staged
@@ -24,8 +25,7 @@ def log_items(spark: SparkSession, d: str) -> DataFrame:
     """The citable log: key, id (E1 ..., P1 ...), type, value, start, end."""
     p = table(spark, d, "evidence").where("type = 'pause' AND start IS NOT NULL").select("key", "type", "value", "start", F.coalesce("end", "start").alias("end")).distinct().withColumn("p", F.lit("P"))
     a = episodes(spark, d).select("key", "type", "value", "start", "end", F.lit("E").alias("p")).unionByName(p)
-    w = Window.partitionBy("key", "p").orderBy("start", "type", "value", "end")
-    return a.select("key", "type", "value", "start", "end", F.concat("p", F.row_number().over(w)).alias("id"))
+    return numbered(a, ["key", "p"], ["start", "type", "value", "end"], "n").select("key", "type", "value", "start", "end", F.concat("p", "n").alias("id"))
 
 
 @query("ver01")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanstone.functions.draws import draw, draw_sql
 from gleanstone.operators import statistics as S
+from gleanstone.operators.ranking import numbered
 from gleanstone.plans.base import query
 from gleanstone.plans.joins import CLAIMS, claims
 from gleanstone.session import table
@@ -40,9 +41,9 @@ s AS (SELECT b, seg, k AS slot, {draw_sql('b', 'seg', 'k')} % n AS pick FROM i,
 
 def resamples(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap rows: every group drawn with replacement, the draws a hash of resample, group and slot."""
-    w = Window.partitionBy("seg").orderBy("id")
-    i = pairs(spark, d).withColumn("k", (F.row_number().over(w) - 1).cast("bigint")).withColumn("n", F.count("*").over(Window.partitionBy("seg")))
-    s = i.select("seg", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(BOOT - 1))).alias("b"))
+    i = numbered(pairs(spark, d), ["seg"], ["id"], "k").withColumn("k", F.col("k") - 1)
+    n = i.groupBy("seg").agg(F.count("*").alias("n"))
+    s = i.join(n, "seg").select("seg", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(BOOT - 1))).alias("b"))
     s = s.select("b", "seg", (draw(F.col("b"), F.col("seg"), F.col("k")) % F.col("n")).alias("k"))
     return s.join(i.select("seg", "k", "x", "y", "z"), ["seg", "k"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanstone.operators import states as S
+from gleanstone.operators.ranking import numbered, previous
 from gleanstone.operators.run_scan import closed_runs
 from gleanstone.plans.base import BEHAVIOURS, FRAMES, behaviours, frames, query
 from gleanstone.session import table
@@ -115,8 +116,7 @@ def words(spark: SparkSession, d: str) -> DataFrame:
 SELECT key, round(coalesce(prev, 0.0), 3) AS start, round(start, 3) AS "end", round(start - coalesce(prev, 0.0), 3) AS pause, prev IS NULL AS leading, start - coalesce(prev, 0.0) >= 2.0 AS is_long FROM g WHERE start - coalesce(prev, 0.0) >= CASE WHEN prev IS NULL THEN 1.0 ELSE 0.5 END""")
 def win08(spark: SparkSession, d: str) -> DataFrame:
     """Pauses between words of half a second or more, and leading silence of a second or more."""
-    w = Window.partitionBy("key").orderBy("start", "evidence_id")
-    g = words(spark, d).withColumn("prev", F.lag("end").over(w)).withColumn("from", F.coalesce("prev", F.lit(0.0))).withColumn("gap", F.col("start") - F.col("from"))
+    g = previous(words(spark, d), ["key"], ["start", "evidence_id"], {"prev": "end"}).withColumn("from", F.coalesce("prev", F.lit(0.0))).withColumn("gap", F.col("start") - F.col("from"))
     return g.where(F.col("gap") >= F.when(F.col("prev").isNull(), 1.0).otherwise(0.5)).select("key", F.round("from", 3).alias("start"), F.round("start", 3).alias("end"), F.round("gap", 3).alias("pause"), F.col("prev").isNull().alias("leading"), (F.col("gap") >= 2.0).alias("is_long"))
 
 
@@ -124,18 +124,21 @@ def win08(spark: SparkSession, d: str) -> DataFrame:
 SELECT key, event_id, CASE WHEN t - pt > 0 AND t - pt < 86400 THEN round(abs(value - pv) / ((t - pt) / 3600), 6) END AS speed FROM g""")
 def win09(spark: SparkSession, d: str) -> DataFrame:
     """Speed from frame to frame, only where the step in time is positive and short."""
-    w = Window.partitionBy("key").orderBy("t")
-    g = frames(spark, d).withColumn("dt", F.col("t") - F.lag("t").over(w)).withColumn("dv", F.abs(F.col("value") - F.lag("value").over(w)))
+    g = previous(frames(spark, d), ["key"], ["t"], {"pt": "t", "pv": "value"}).withColumn("dt", F.col("t") - F.col("pt")).withColumn("dv", F.abs(F.col("value") - F.col("pv")))
     return g.select("key", "event_id", F.when((F.col("dt") > 0) & (F.col("dt") < 86400), F.round(F.col("dv") / (F.col("dt") / 3600), 6)).alias("speed"))
 
 
 @query("win10", f"""WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM frames)
 SELECT key, event_id, round(CASE WHEN n < 5 THEN value ELSE median(value) OVER (PARTITION BY key ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END, 6) AS smooth FROM n""")
 def win10(spark: SparkSession, d: str) -> DataFrame:
-    """Centred moving median of five frames, shrinking at the edges; short series stay."""
-    w = Window.partitionBy("key").orderBy("t")
-    f = frames(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("key"))).withColumn("m", F.expr("percentile(value, 0.5)").over(w.rowsBetween(-2, 2)))
-    return f.select("key", "event_id", F.round(F.when(F.col("n") < 5, F.col("value")).otherwise(F.col("m")), 6).alias("smooth"))
+    """Centred moving median of five frames, shrinking at the edges; short series stay.
+
+    Every frame goes to the five positions whose window it is in.
+    """
+    f = numbered(frames(spark, d), ["key"], ["t"], "n").select("key", "event_id", "value", "n")
+    at = f.select("key", "value", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("n")).groupBy("key", "n").agg(F.median("value").alias("m"))
+    size = f.groupBy("key").agg(F.count("*").alias("size"))
+    return f.join(at, ["key", "n"]).join(size, "key").select("key", "event_id", F.round(F.when(F.col("size") < 5, F.col("value")).otherwise(F.col("m")), 6).alias("smooth"))
 
 
 @query("win11", f"""WITH {FRAMES}, q AS (SELECT *, value < greatest(50, avg(value) OVER (PARTITION BY key) - 15) AS quiet FROM frames),
@@ -158,8 +161,7 @@ def win12(spark: SparkSession, d: str) -> DataFrame:
     """Ids of episodes (E1 ...) and pauses (P1 ...) in order of start and type."""
     p = table(spark, d, "evidence").where("type = 'pause' AND start IS NOT NULL").select("key", "type", "value", "start").distinct().withColumn("p", F.lit("P"))
     a = episodes(spark, d).select("key", "type", "value", "start", F.lit("E").alias("p")).unionByName(p)
-    w = Window.partitionBy("key", "p").orderBy("start", "type", "value")
-    return a.select("key", "type", "value", F.round("start", 3).alias("start"), F.concat("p", F.row_number().over(w)).alias("id"))
+    return numbered(a, ["key", "p"], ["start", "type", "value"], "n").select("key", "type", "value", F.round("start", 3).alias("start"), F.concat("p", "n").alias("id"))
 
 
 @query("win13", """SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS first_rank, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS average_rank,
@@ -169,9 +171,9 @@ def win13(spark: SparkSession, d: str) -> DataFrame:
     from gleanstone.operators.ranking import average_rank, global_row_number
 
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    seg = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
+    c = numbered(c, ["c_mktsegment"], ["-c_acctbal", "c_custkey"], "segment_rank")
     out = average_rank(global_row_number(c, ["c_acctbal", "c_custkey"], "first_rank"), "c_acctbal", "average_rank")
-    return out.select("c_custkey", "first_rank", "average_rank", F.row_number().over(seg).cast("bigint").alias("segment_rank"))
+    return out.select("c_custkey", "first_rank", "average_rank", "segment_rank")
 
 
 @query("win14", """WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS r, count(*) OVER () AS n FROM customer)
@@ -216,9 +218,9 @@ def win17(spark: SparkSession, d: str) -> DataFrame:
 SELECT key, round(any_value(level), 6) AS open_level, round(median(CASE WHEN value >= greatest(0.12, 0.65 * level) THEN value END), 6) AS usual FROM frames JOIN o USING (key) GROUP BY key""")
 def win18(spark: SparkSession, d: str) -> DataFrame:
     """Open level (the element at three quarters of the sorted values) and the median above its threshold."""
-    w = Window.partitionBy("key").orderBy("value")
-    f = frames(spark, d).withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    f = f.withColumn("level", F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.75) + 1, F.col("value"))).over(Window.partitionBy("key")))
+    f = numbered(frames(spark, d), ["key"], ["value"], "r")
+    n = f.groupBy("key").agg((F.floor(F.count("*") * 0.75) + 1).alias("r"))
+    f = f.join(f.join(n, ["key", "r"]).select("key", F.col("value").alias("level")), "key")
     return f.groupBy("key").agg(F.round(F.first("level"), 6).alias("open_level"), F.round(F.median(F.when(F.col("value") >= F.greatest(F.lit(0.12), F.col("level") * 0.65), F.col("value"))), 6).alias("usual"))
 
 
@@ -238,10 +240,11 @@ def win19(spark: SparkSession, d: str) -> DataFrame:
 SELECT key, max(c) AS worst, bool_or(c >= 3) AS stopped FROM (SELECT key, sum(CASE WHEN state = 'error' THEN 1 ELSE 0 END)::BIGINT AS c FROM m GROUP BY key, g) GROUP BY key""")
 def win20(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive failures, counted anew after each success; whether a limit of three was met."""
-    w = Window.partitionBy("key").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    m = frames(spark, d).withColumn("g", F.sum((F.col("state") != "error").cast("int")).over(w))
-    c = m.groupBy("key", "g").agg(F.sum((F.col("state") == "error").cast("bigint")).alias("c"))
-    return c.groupBy("key").agg(F.max("c").alias("worst"), F.max(F.col("c") >= 3).alias("stopped"))
+    f = frames(spark, d).select("key", "t", F.when(F.col("state") == "error", "error").otherwise("ok").alias("state"))
+    runs = closed_runs(f, ["key"], "state", "t", "t").where("state = 'error'").withColumnRenamed("key", "k")
+    c = f.where("state = 'error'").join(runs.drop("state"), (F.col("key") == F.col("k")) & F.col("t").between(F.col("start"), F.col("end"))).groupBy("key", "start").agg(F.count("*").alias("c"))
+    worst = c.groupBy("key").agg(F.max("c").alias("worst"))
+    return f.select("key").distinct().join(worst, "key", "left").select("key", F.coalesce("worst", F.lit(0)).alias("worst"), (F.coalesce("worst", F.lit(0)) >= 3).alias("stopped"))
 
 
 @query("win21", """SELECT p_partkey, p_brand, row_number() OVER w > 1 AS seen_before, first_value(p_partkey) OVER w AS first_seen FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)""")
