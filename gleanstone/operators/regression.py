@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,14 @@ class Ridge:
     intercept: float
     alpha: float
 
+    def to_json(self) -> str:
+        return json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(self).items()})
+
+    @classmethod
+    def from_json(cls, text: str) -> Ridge:
+        got = json.loads(text)
+        return cls(**{k: np.array(v) if k in ("median", "mean", "sd", "coef") else v for k, v in got.items()})
+
     def z(self) -> list[Column]:
         """Standardised features of a row; missing ones take the median."""
         return [(F.coalesce(F.col(f).cast("double"), F.lit(float(m))) - float(u)) / float(s) for f, m, u, s in zip(self.features, self.median, self.mean, self.sd)]
