@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -28,17 +29,38 @@ def local_session(cores: str = "*", app: str = "gleanstone") -> SparkSession:
 _shipped: set[str] = set()
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that checkpoints go to.
+
+    It comes from ``spark.checkpoint.dir``, which a cluster points at storage that every executor
+    sees. Only where the setting is absent and the master is local, a temporary folder is used.
+    """
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix=f"gleanstone-{os.getpid()}-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each application."""
+    """Send this package's code to the executors, once for each application, by way of the shared folder."""
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         _shipped.add(sc.applicationId)
-        here = Path(__file__).resolve().parent
-        archive = os.path.join(tempfile.mkdtemp(prefix="gleanstone-"), "gleanstone.zip")
-        with zipfile.ZipFile(archive, "w") as z:
+        here, packed = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
             for p in sorted(here.rglob("*.py")):
                 z.write(p, p.relative_to(here.parent))
-        sc.addPyFile(archive)
+        place = f"{checkpoint_folder(spark)}/gleanstone.zip"
+        path = sc._jvm.org.apache.hadoop.fs.Path(place)
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+        out.write(packed.getvalue())
+        out.close()
+        sc.addPyFile(place)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,20 +70,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from there.
-
-    The folder comes from ``spark.checkpoint.dir``, which a cluster points at storage
-    that every executor sees, so that a lost executor never loses the data. Only where
-    the setting is absent and the master is local, a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix=f"gleanstone-{os.getpid()}-")
-        sc.setCheckpointDir(folder)
+    """Write ``df`` to the checkpoint folder and continue from there, so that a lost executor never loses the data."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanstone.session import checkpoint_folder
+
 POINT = T.StructType([T.StructField(c, T.DoubleType()) for c in "xyz"])
 FRAMES = T.StructType([
     T.StructField("key", T.StringType()),
@@ -21,12 +23,7 @@ EVIDENCE = "key STRING, total_events INT, evidence ARRAY<STRUCT<category:STRING,
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, which all executors see."""
-    from gleanstone.session import cut
-
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        cut(spark.range(0))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType | str, suffix: str = "") -> DataFrame:
