@@ -58,3 +58,25 @@ def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, forms = vocabulary(spark, sf_dir)
     out = [C.krippendorff(v).withColumn("task", F.lit(t)) for t, v in (("audit", audit_votes(spark, sf_dir)), ("rq2", staged_votes(spark, sf_dir, forms)))]
     return out[0].unionByName(out[1]).select("task", F.round("alpha", 6).alias("alpha"), "items", "votes")
+
+
+_PLAIN = "regexp_replace(regexp_replace(lower(regexp_replace({}, '[​ ﻿]', ' ', 'g')), '[(\\[].*$|;.*$|\\s[-–—~]\\s?.*$|~.*$', '', 'g'), '[\\s_\\-.,!?:''\"]+', '', 'g')"
+_ANSWER = "CASE WHEN {0} IN ('true', 't', '1', 'yes', 'y') THEN 'TRUE' WHEN {0} IN ('false', 'f', '0', 'no', 'n') THEN 'FALSE' END".format("lower(regexp_replace({}, '[\\s​ .!]+', '', 'g'))")
+AGREEMENT_SQL = f"""
+WITH a AS (SELECT DISTINCT ON (audit_id) * FROM hallucination_audit_sample),
+audit AS (SELECT audit_id AS item, rater, min(label) AS label FROM (
+    SELECT audit_id, coalesce(rater1_id, 'unnamed in place 1') AS rater, {_ANSWER.format('rater1_true_false', 'rater1_true_false')} AS label FROM a
+    UNION ALL SELECT audit_id, coalesce(rater2_id, 'unnamed in place 2'), {_ANSWER.format('rater2_true_false', 'rater2_true_false')} FROM a) WHERE label IS NOT NULL GROUP BY 1, 2),
+forms AS (SELECT type, unnest([{_PLAIN.format('type')}, {_PLAIN.format('label_th')}, {_PLAIN.format('label_en')}]) AS f FROM label_vocab),
+texts AS (SELECT DISTINCT t, {_PLAIN.format('t')} AS p FROM (SELECT label AS t FROM test_rq2_labels UNION SELECT type FROM test_rq2_labels) WHERE t IS NOT NULL),
+near AS (SELECT t, type, levenshtein(p, f) AS d FROM texts, forms WHERE levenshtein(p, f) <= 2 AND levenshtein(p, f) <= 0.25 * length(f)),
+best AS (SELECT t, min(type) AS k FROM near n WHERE d = (SELECT min(d) FROM near m WHERE m.t = n.t) GROUP BY t HAVING count(DISTINCT type) = 1),
+votes AS (SELECT item_id, coalesce(rater_id, 'unnamed') AS rater, coalesce(x.k, y.k) AS k, labelled_at, label_id FROM test_rq2_labels l LEFT JOIN best x ON x.t = l.label LEFT JOIN best y ON y.t = l.type WHERE item_id IS NOT NULL),
+last AS (SELECT *, row_number() OVER (PARTITION BY item_id, rater ORDER BY labelled_at DESC NULLS LAST, label_id DESC) AS n FROM votes WHERE k IS NOT NULL),
+v AS (SELECT 'audit' AS task, item, label FROM audit UNION ALL SELECT 'rq2', CAST(item_id AS VARCHAR), k FROM last WHERE n = 1),
+per AS (SELECT task, item, label, count(*) AS n FROM v GROUP BY 1, 2, 3),
+size AS (SELECT task, item, sum(n) AS m, sum(n * (n - 1)) AS same FROM per GROUP BY 1, 2 HAVING sum(n) > 1),
+o AS (SELECT task, sum((m * (m - 1) - same) / (m - 1)) AS d, sum(m) AS t, count(*) AS items FROM size GROUP BY 1),
+e AS (SELECT task, sum(n * n) AS sq FROM (SELECT p.task, p.label, sum(p.n) AS n FROM per p JOIN size s ON p.task = s.task AND p.item = s.item GROUP BY 1, 2) GROUP BY 1)
+SELECT o.task, round(1 - d / ((t * t - sq) / (t - 1)), 6) AS alpha, items, CAST(t AS BIGINT) AS votes FROM o JOIN e ON o.task = e.task
+"""

@@ -20,6 +20,7 @@ QUERIES = {
     "p9_statistics": corpus_queries.p9_statistics,
 }
 SQL = {
+    "p2_agreement": label_queries.AGREEMENT_SQL,
     "p4_found": time_queries.P4_SQL,
     "p5_found": time_queries.P5_SQL,
 }
