@@ -33,15 +33,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that checkpoints go to.
 
     It comes from ``spark.checkpoint.dir``, which a cluster points at storage that every executor
-    sees. Only where the setting is absent and the master is local, a temporary folder is used.
+    sees. Where the setting is absent, a local session takes a temporary folder and a cluster a
+    folder in its warehouse, never one of a single machine.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix=f"gleanstone-{os.getpid()}-")
+            alone = sc.master == "local" or sc.master.startswith("local[")
+            folder = tempfile.mkdtemp(prefix=f"gleanstone-{os.getpid()}-") if alone else spark.conf.get("spark.sql.warehouse.dir") + "/gleanstone-checkpoints"
         sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
