@@ -39,34 +39,33 @@ def fit(votes: DataFrame, classes: int, known: DataFrame | None = None, strength
     array over the classes) is cut; posteriors are derived from it again.
     """
     ks = range(classes)
-    votes = cut(votes.select("item", "rater", F.col("label").cast("int").alias("label")).dropna().repartition("item"))
-    raters = votes.select("rater").distinct()
+    votes = votes.select("item", "rater", F.col("label").cast("int").alias("label")).dropna()
     if known is not None:
-        prior = raters.join(known.select("rater", "accuracy", "weight"), "rater", "left").select("rater", F.coalesce("accuracy", F.lit(0.6)).alias("a"), F.coalesce("weight", F.lit(strength)).alias("w"))
+        votes = votes.join(known.select("rater", "accuracy", "weight"), "rater", "left")
+        votes = votes.select("item", "rater", "label", F.coalesce("accuracy", F.lit(0.6)).alias("a"), F.coalesce("weight", F.lit(strength)).alias("w"))
     else:
-        prior = raters.select("rater", F.lit(0.6).alias("a"), F.lit(strength).alias("w"))
-    prior = cut(prior)
+        votes = votes.select("item", "rater", "label", F.lit(0.6).alias("a"), F.lit(strength).alias("w"))
+    votes = cut(votes.repartition("item"))
 
     def counts(posterior: DataFrame) -> DataFrame:
         """rater, label, truth, n: expected number of votes by true class."""
-        n = votes.join(posterior, "item").groupBy("rater", "label").agg(*[F.sum(F.get("q", F.lit(k))).alias(f"n{k}") for k in ks])
-        return n.select("rater", "label", F.posexplode(F.array(*[f"n{k}" for k in ks])).alias("truth", "n"))
+        n = votes.join(posterior, "item").groupBy("rater", "label", "a", "w").agg(*[F.sum(F.get("q", F.lit(k))).alias(f"n{k}") for k in ks])
+        return n.select("rater", "label", "a", "w", F.posexplode(F.array(*[f"n{k}" for k in ks])).alias("truth", "n"))
 
     def model(n: DataFrame) -> DataFrame:
         """rater, label, n, e, s: by true class the votes, their expected log rate and the class's expected log share."""
-        full = n.groupBy("rater", "truth").agg(F.sum("n").alias("t"))
-        share = n.groupBy("truth").agg(F.sum("n").alias("m"))
-        share = share.withColumn("all", F.sum("m").over(Window.partitionBy(F.lit(1))))
-        x = n.join(prior, "rater").join(full, ["rater", "truth"]).join(share, "truth")
+        # windows over the model's own rows: a rater's totals by class, and the classes' totals
+        x = n.withColumn("t", F.sum("n").over(Window.partitionBy("rater", "truth"))).withColumn("m", F.sum("n").over(Window.partitionBy("truth")))
         alpha = F.col("w") * F.when(F.col("label") == F.col("truth"), F.col("a")).otherwise((1 - F.col("a")) / max(1, classes - 1))
         # class shares count votes, so that items with more votes weigh more; their prior is flat
-        x = x.select("rater", "label", "truth", "n", (alpha + F.col("n")).alias("up"), (F.col("w") + F.col("t")).alias("down"), (F.col("m") + 1).alias("m"), (F.col("all") + classes).alias("all"))
-        x = x.select("rater", "label", "truth", "n", (digamma(F.col("up")) - digamma(F.col("down"))).alias("e"), (digamma(F.col("m")) - digamma(F.col("all"))).alias("s"))
+        x = x.select("rater", "label", "truth", "n", (alpha + F.col("n")).alias("up"), (F.col("w") + F.col("t")).alias("down"), (F.col("m") + 1).alias("m"), "a", "w")
+        # the whole of all votes shifts every class's share alike and drops out of the posterior
+        x = x.select("rater", "label", "a", "w", "truth", "n", (digamma(F.col("up")) - digamma(F.col("down"))).alias("e"), digamma(F.col("m")).alias("s"))
         rows = F.array_sort(F.collect_list(F.struct("truth", "n", "e", "s")))
-        return x.groupBy("rater", "label").agg(rows.alias("x")).select("rater", "label", *[F.col(f"x.{c}").alias(c) for c in "nes"])
+        return x.groupBy("rater", "label", "a", "w").agg(rows.alias("x")).select("rater", "label", "a", "w", *[F.col(f"x.{c}").alias(c) for c in "nes"])
 
     def posterior(m: DataFrame) -> DataFrame:
-        sums = votes.join(m, ["rater", "label"]).groupBy("item").agg(*[(F.sum(F.get("e", F.lit(k))) + F.first(F.get("s", F.lit(k)))).alias(f"l{k}") for k in ks])
+        sums = votes.join(m.select("rater", "label", "e", "s"), ["rater", "label"]).groupBy("item").agg(*[(F.sum(F.get("e", F.lit(k))) + F.first(F.get("s", F.lit(k)))).alias(f"l{k}") for k in ks])
         q = sums.select("item", F.array(*[f"l{k}" for k in ks]).alias("l"))
         q = q.select("item", F.transform("l", lambda x: F.exp(x - F.array_max("l"))).alias("w"))
         return q.select("item", F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda a, b: a + b)).alias("q"))
@@ -80,7 +79,7 @@ def fit(votes: DataFrame, classes: int, known: DataFrame | None = None, strength
             change = moved.agg(F.max(F.abs(F.col("z.n") - F.col("z.o")) / (F.col("z.n") + 1))).first()[0]
             if change is None or change < tolerance:
                 break
-    given = now.join(prior, "rater").groupBy("rater", "a", "w").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("n"))
+    given = now.groupBy("rater", "a", "w").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("n"))
     rows = given.select("rater", "a", "w", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("truth"), "n")
     row = F.transform(
         F.sequence(F.lit(0), F.lit(classes - 1)),
