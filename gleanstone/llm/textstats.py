@@ -101,7 +101,7 @@ def unreadable(f: Facts) -> bool:
     mean = f.letters / len(f.words)
     if f.lengths.count(1) > 0.4 * len(f.words) and mean < 2.5 and f.digits < 0.3 * size:
         return True
-    if LONG.search(bare) and sum(map(len, LONG.findall(bare))) > 0.5 * size:
+    if f.known < 0.2 * len(f.words) and sum(map(len, LONG.findall(bare))) > 0.5 * size:
         return True
     if f.n >= 60 and f.known < 0.08 * len(f.words):
         return f.far > 0.055 + 4.0 / f.n and f.digits < 0.12 * size and not FIELDS.search(bare)
@@ -118,6 +118,8 @@ RULE = re.compile(r"[|\-+=: ]{5,}$")
 
 def record(body: str) -> bool:
     """Whether a line is a row of fields: separators and numbers, hardly any function word."""
+    if len(body) > 120 and INNER.search(body):  # several sentences in a line
+        return False
     numbers = len(NUMBER.findall(body)) if DIGIT.search(body) else 0
     if not numbers and not STRONG.search(body) and not RULE.match(body):
         return False
