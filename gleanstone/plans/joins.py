@@ -222,7 +222,7 @@ g AS (SELECT DISTINCT ON (event_id) event_id, key, regexp_replace(lower(trim(eve
 SELECT key, ws AS start, arg_max(event, (round(ov, 6), event)) AS event, round(max(ov), 6) AS sec FROM o GROUP BY key, ws""")
 def jn20(spark: SparkSession, d: str) -> DataFrame:
     """The state that fills most of each two-second window."""
-    g = table(spark, d, "gaze_events").dropDuplicates(["event_id"]).where("event IS NOT NULL AND start < end AND end < 600").select("key", code_form(F.col("event")).alias("event"), "start", "end")
+    g = table(spark, d, "gaze_events").dropDuplicates(["event_id"]).where("event IS NOT NULL AND start < end").select("key", code_form(F.col("event")).alias("event"), "start", "end")
     g = g.withColumn("i", F.explode(F.sequence(F.floor(F.col("start") / 2), F.ceil(F.col("end") / 2) - 1))).withColumn("ws", F.col("i") * F.lit(2.0))
     o = g.groupBy("key", "ws", "event").agg(F.sum(F.least(F.col("end"), F.col("ws") + 2) - F.greatest("start", "ws")).alias("ov"))
     return o.groupBy("key", F.col("ws").alias("start")).agg(F.max_by("event", F.struct(F.round("ov", 6), "event")).alias("event"), F.round(F.max("ov"), 6).alias("sec"))

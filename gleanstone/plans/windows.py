@@ -209,7 +209,7 @@ def win16(spark: SparkSession, d: str) -> DataFrame:
 SELECT key, CAST(s AS DOUBLE) AS start, CAST(round(least(s + 2.0, dur), 3) AS DOUBLE) AS "end" FROM w WHERE least(s + 2.0, dur) - s >= 0.5""")
 def win17(spark: SparkSession, d: str) -> DataFrame:
     """Labelling windows of two seconds; a last one under half a second is dropped."""
-    c = table(spark, d, "gaze_events").where("end < 600").groupBy("key").agg(F.max("end").alias("dur"))
+    c = table(spark, d, "gaze_events").where("end IS NOT NULL").groupBy("key").agg(F.max("end").alias("dur"))
     w = c.select("key", "dur", F.explode(F.sequence(F.lit(0), F.floor(F.col("dur") / 2).cast("int"))).alias("i")).withColumn("start", F.col("i") * F.lit(2.0))
     return w.withColumn("end", F.least(F.col("start") + 2.0, F.col("dur"))).where("end - start >= 0.5").select("key", "start", F.round("end", 3).alias("end"))
 
