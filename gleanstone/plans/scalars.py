@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanstone.functions import claims as C
 from gleanstone.functions import scoring as G
 from gleanstone.functions.similarity import similarity
+from gleanstone.functions.text import code_form
 from gleanstone.plans.aggregates import SHARES, state_shares
 from gleanstone.plans.base import BEHAVIOURS, behaviours, query
 from gleanstone.plans.joins import CLAIMS, POINTS, claims, points
@@ -265,8 +266,8 @@ def str29(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str30", "SELECT doc_id, 'Rate the answer from 1 to 10.' || chr(10) || left(text, 2000) AS prompt FROM documents WHERE text IS NOT NULL AND source = 'interview_answer'")
 def str30(spark: SparkSession, d: str) -> DataFrame:
-    """Rating prompts."""
-    return docs(spark, d).where("source = 'interview_answer'").select("doc_id", F.concat(F.lit("Rate the answer from 1 to 10.\n"), F.left("text", F.lit(2000))).alias("prompt"))
+    """Rating prompts with the whole answer, whatever the spelling of its source."""
+    return docs(spark, d).where(code_form(F.col("source")) == "interview_answer").select("doc_id", F.concat(F.lit("Rate the answer from 1 to 10.\n"), "text").alias("prompt"))
 
 
 # math ------------------------------------------------------------------------------------------
