@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanstone.functions.draws import draw, draw_sql
@@ -10,7 +10,7 @@ from gleanstone.operators import statistics as S
 from gleanstone.operators.ranking import numbered
 from gleanstone.plans.base import query
 from gleanstone.plans.joins import CLAIMS, claims
-from gleanstone.session import table
+from gleanstone.session import cut, table
 
 PAIRS = "p AS (SELECT o_custkey AS id, c_mktsegment AS seg, avg(o_totalprice) AS x, count(*)::DOUBLE AS z, any_value(c_acctbal) AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
 
@@ -34,25 +34,46 @@ def st01(spark: SparkSession, d: str) -> DataFrame:
     return S.spearman(pairs(spark, d), ["seg"], "x", "y").select("seg", "n", F.round("rho", 9).alias("rho"))
 
 
-BOOT = 200
+RESAMPLES = 2000
+BOOT = 200  # of the SQL
 BOOT_SQL = f"""WITH {PAIRS}, i AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY seg) AS n FROM p), b AS (SELECT unnest(range({BOOT})) AS b),
 s AS (SELECT b, seg, k AS slot, {draw_sql('b', 'seg', 'k')} % n AS pick FROM i, b), g AS (SELECT s.b, s.seg, i.x, i.y, i.z FROM s JOIN i ON s.seg = i.seg AND s.pick = i.k)"""
 
 
-def resamples(spark: SparkSession, d: str) -> DataFrame:
-    """Bootstrap rows: every group drawn with replacement, the draws a hash of resample, group and slot."""
-    i = numbered(pairs(spark, d), ["seg"], ["id"], "k").withColumn("k", F.col("k") - 1)
-    n = i.groupBy("seg").agg(F.count("*").alias("n"))
-    s = i.join(n, "seg").select("seg", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(BOOT - 1))).alias("b"))
-    s = s.select("b", "seg", (draw(F.col("b"), F.col("seg"), F.col("k")) % F.col("n")).alias("k"))
-    return s.join(i.select("seg", "k", "x", "y", "z"), ["seg", "k"])
+def resamples(spark: SparkSession, d: str, segs: list[str] | None = None) -> DataFrame:
+    """Bootstrap weights: b, seg, w (how often the row was drawn), x, y, z.
+
+    Every group is drawn from with replacement, the draws a hash of resample, group and slot. They
+    are made and counted where their resample is, so that rows drawn again aren't moved.
+    """
+    p = pairs(spark, d)
+    i = cut(numbered(p.where(F.col("seg").isin(segs)) if segs else p, ["seg"], ["id"], "k").withColumn("k", F.col("k") - 1))
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    s = i.groupBy("seg").agg(F.count("*").alias("n")).select("seg", "n", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))).alias("b")).repartition(parts, "b", "seg")
+    s = s.select("b", "seg", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
+    s = s.select("b", "seg", (draw(F.col("b"), F.col("seg"), F.col("k")) % F.col("n")).alias("k")).groupBy("b", "seg", "k").agg(F.count("*").alias("w"))
+    # Catalyst takes the draws for a small table and would broadcast them
+    return s.join(i.select("seg", "k", "x", "y", "z").hint("shuffle_hash"), ["seg", "k"])
+
+
+def weighted_ranks(r: DataFrame, *columns: str) -> DataFrame:
+    """``r`` with d<column>: the distance of a row's rank in its resample from the mean rank, ties sharing ranks."""
+    by = Window.partitionBy("b", "seg")
+    total = F.sum("w").over(by)
+    return r.select("*", *[(F.sum("w").over(by.orderBy(c)) - (F.sum("w").over(Window.partitionBy("b", "seg", c)) - 1) / 2 - (total + 1) / 2).alias(f"d{c}") for c in columns])
+
+
+def weighted_rho(x: str, y: str) -> Column:
+    """Rank correlation of rows with weights (aggregate); null where a side is constant."""
+    xy, xx, yy = (F.sum(F.col("w") * F.col(f"d{a}") * F.col(f"d{b}")) for a, b in ((x, y), (x, x), (y, y)))
+    return F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy))
 
 
 @query("st02", BOOT_SQL + f""", r AS (SELECT b, seg, {_ranked('x', 'b, seg')} AS rx, {_ranked('y', 'b, seg')} AS ry FROM g), c AS (SELECT b, seg, corr(rx, ry) AS rho FROM r GROUP BY 1, 2)
 SELECT seg, round(quantile_cont(rho, 0.025), 9) AS low, round(quantile_cont(rho, 0.975), 9) AS high FROM c WHERE rho IS NOT NULL GROUP BY seg""")
 def st02(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap interval of the rank correlation."""
-    c = S.spearman(resamples(spark, d), ["b", "seg"], "x", "y")
+    c = weighted_ranks(resamples(spark, d).where("x IS NOT NULL AND y IS NOT NULL"), "x", "y").groupBy("b", "seg").agg(weighted_rho("x", "y").alias("rho"))
     return c.groupBy("seg").agg(*[F.round(F.expr(f"percentile(rho, {p})"), 9).alias(n) for n, p in (("low", 0.025), ("high", 0.975))])
 
 
@@ -60,10 +81,8 @@ def st02(spark: SparkSession, d: str) -> DataFrame:
 q AS (SELECT seg, quantile_cont(delta, 0.025) AS low, quantile_cont(delta, 0.975) AS high FROM c WHERE delta IS NOT NULL GROUP BY seg) SELECT seg, round(low, 9) AS low, round(high, 9) AS high, CASE WHEN low > 0 THEN 'yes' WHEN high < 0 THEN 'no (worse)' ELSE 'not shown' END AS verdict FROM q""")
 def st03(spark: SparkSession, d: str) -> DataFrame:
     """Paired bootstrap of the difference of two correlations on shared draws."""
-    r = resamples(spark, d)
-    for v in "xyz":
-        r = S.group_ranks(r, ["b", "seg"], v, f"r{v}")
-    c = r.groupBy("b", "seg").agg((F.corr("rx", "ry") - F.corr("rz", "ry")).alias("delta"))
+    r = weighted_ranks(resamples(spark, d).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"), "x", "y", "z")
+    c = r.groupBy("b", "seg").agg((weighted_rho("x", "y") - weighted_rho("z", "y")).alias("delta"))
     q = c.groupBy("seg").agg(F.expr("percentile(delta, 0.025)").alias("low"), F.expr("percentile(delta, 0.975)").alias("high"))
     return q.select("seg", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), S.verdict(F.col("low"), F.col("high")).alias("verdict"))
 
@@ -142,7 +161,7 @@ def st10(spark: SparkSession, d: str) -> DataFrame:
 @query("st11", BOOT_SQL + """, m AS (SELECT b, seg, avg(x) AS m FROM g GROUP BY 1, 2), q AS (SELECT quantile_cont(u.m - v.m, 0.025) AS low, quantile_cont(u.m - v.m, 0.975) AS high FROM m u JOIN m v USING (b) WHERE u.seg = 'BUILDING' AND v.seg = 'MACHINERY') SELECT round(low, 6) AS low, round(high, 6) AS high, CASE WHEN low > 0 THEN 'yes' WHEN high < 0 THEN 'no (worse)' ELSE 'not shown' END AS verdict FROM q""")
 def st11(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap of the difference of two groups' means."""
-    m = resamples(spark, d).groupBy("b", "seg").agg(F.avg("x").alias("m"))
+    m = cut(resamples(spark, d, ["BUILDING", "MACHINERY"]).where("x IS NOT NULL").groupBy("b", "seg").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m")))
     diff = m.where("seg = 'BUILDING'").select("b", F.col("m").alias("u")).join(m.where("seg = 'MACHINERY'").select("b", F.col("m").alias("v")), "b").select((F.col("u") - F.col("v")).alias("d"))
     q = diff.agg(F.expr("percentile(d, 0.025)").alias("low"), F.expr("percentile(d, 0.975)").alias("high"))
     return q.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), S.verdict(F.col("low"), F.col("high")).alias("verdict"))
@@ -223,6 +242,6 @@ def ver17(spark: SparkSession, d: str) -> DataFrame:
     a, b = r.where("approach = 'grounded'").select("k", F.col("rate").alias("a")), r.where("approach = 'hybrid'").select("k", F.col("rate").alias("b"))
     i = global_row_number(a.join(b, "k").select("k", (F.col("a") - F.col("b")).alias("d")), ["k"], "j").select((F.col("j") - 1).alias("j"), "d")
     n = i.count()
-    s = i.select("j", F.explode(F.sequence(F.lit(0), F.lit(BOOT - 1))).alias("b")).select("b", (draw(F.col("b"), F.col("j")) % max(n, 1)).alias("j"))
-    m = s.join(i, "j").groupBy("b").agg(F.avg("d").alias("m"))
+    s = i.select("j", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))).alias("b")).select("b", (draw(F.col("b"), F.col("j")) % max(n, 1)).alias("j"))
+    m = s.join(i.hint("shuffle_hash"), "j").groupBy("b").agg(F.avg("d").alias("m"))
     return m.agg(*[F.when(F.lit(n >= 3), F.round(F.expr(f"percentile(m, {p})"), 9)).alias(c) for c, p in (("low", 0.025), ("high", 0.975))])
