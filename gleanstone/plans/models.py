@@ -11,7 +11,7 @@ from gleanstone.functions.draws import draw
 from gleanstone.operators import regression as R
 from gleanstone.operators import statistics as S
 from gleanstone.plans.base import query
-from gleanstone.session import table
+from gleanstone.session import cut, table
 
 FEATURES = ["mean_price", "n_orders", "max_price", "min_price"]
 
@@ -36,7 +36,7 @@ def ml01(spark: SparkSession, d: str) -> DataFrame:
 @query("ml02")
 def ml02(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold predictions of five folds, repeated, and their rank correlation."""
-    o = R.out_of_fold(people(spark, d), "id", FEATURES, "target", 5, 3)
+    o = R.out_of_fold(people(spark, d), "id", FEATURES, "target", 5, 20)
     return S.spearman(o, ["repeat"], "pred", "y").select("repeat", "n", F.round("rho", 6).alias("rho"))
 
 
@@ -118,17 +118,17 @@ def ml09(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml10")
 def ml10(spark: SparkSession, d: str) -> DataFrame:
-    """Learning curve: fits on 50, 100 and 200 rows, evaluated on a held-out part."""
-    p = people(spark, d)
-    test = p.where("id % 5 = 0").withColumn("one", F.lit(1))
-    out = []
-    for n in (50, 100, 200):
-        m = R.fit(p.where("id % 5 <> 0").orderBy(draw(3, F.col("id")), "id").limit(n), "id", FEATURES, "target", 1.0)
+    """Learning curve: five draws each of 25 to 300 rows and the whole pool, evaluated on a held-out part."""
+    p = cut(people(spark, d).where("target IS NOT NULL"))
+    pool, test, out = p.where("id % 5 <> 0"), p.where("id % 5 = 0"), []
+    size = pool.count()
+    for n, r in [(n, r) for n in (25, 50, 100, 200, 300) if n < size for r in range(5)] + [(size, 0)]:
+        m = R.fit(pool.orderBy(draw(r, F.col("id")), "id").limit(n) if n < size else pool, "id", FEATURES, "target", 1.0)
         if m:
-            out.append(test.select(F.lit(n).alias("n_train"), m.predict().alias("pred"), "target"))
+            out.append(test.select(F.lit(n).alias("n_train"), F.lit(r).alias("repeat"), m.predict().alias("pred"), "target"))
     if not out:
-        return spark.createDataFrame([], "n_train int, n bigint, rho double")
-    return S.spearman(reduce(DataFrame.unionByName, out), ["n_train"], "pred", "target").select("n_train", "n", F.round("rho", 6).alias("rho"))
+        return spark.createDataFrame([], "n_train int, repeat int, n bigint, rho double")
+    return S.spearman(reduce(DataFrame.unionByName, out), ["n_train", "repeat"], "pred", "target").select("n_train", "repeat", "n", F.round("rho", 6).alias("rho"))
 
 
 @query("ml11")
