@@ -10,6 +10,7 @@ from gleanstone.plans import registry
 
 @pytest.mark.parametrize("name", ["st02", "st03", "st11", "ver17"])
 def test_two_thousand_resamples(spark, sf, name):
+    sf = sf.replace("sf0.001", "sf0.01") if name == "ver17" else sf  # the smaller tables have under three clips of both approaches
     sql = registry.SQL[name]
     assert sql.count("range(200)") == 1
     c = duckdb.connect()
@@ -19,4 +20,4 @@ def test_two_thousand_resamples(spark, sf, name):
     want = c.sql(f"SELECT {', '.join(df.columns)} FROM ({sql.replace('range(200)', 'range(2000)')})").fetchall()
     near = lambda r: tuple(pytest.approx(v, rel=1e-7, abs=2e-9) if isinstance(v, float) else v for v in r)
     got = sorted(tuple(r) for r in df.collect())
-    assert got and got == [near(r) for r in sorted(want)]
+    assert got and None not in got[0] and got == [near(r) for r in sorted(want)]
