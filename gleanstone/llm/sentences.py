@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanstone.session import cut
 
-MOST = 4_000_000  # entries of the model; beyond that the rarest events are left to the backoff
+MOST = 2_000_000  # entries of a model that is sent to every task; a larger one is joined
 
 THAI, KANA = "฀-๿", "぀-ヿ㐀-鿿々〆ー"
 OPEN, CLOSE = "\"“„«‹「『(（[【‘", "\"”“»›」』)）]】’"
@@ -31,8 +32,10 @@ PROFILES = {  # fixed values: a few of the commonest words of languages that sha
 }
 SPEECH_WORDS = 40  # so many words without any stop are taken for unpunctuated speech
 
+MAYBE = 0.3  # the prior of a stop behind a short capitalised word, until the corpus has been counted
+
 B, NONE = 1, 0
-STOP, SPACELESS = 1, 2  # kinds of tokens; others are words
+STOP, SPACELESS, SHORT, KANJI = 1, 2, 3, 4  # kinds of tokens: stops, ends of Thai stretches, stops behind a short capitalised word, ends of Japanese or Chinese stretches; others are words
 _ids: dict[str, int] = {}
 
 
@@ -176,13 +179,14 @@ class Batch:
                 e = b
                 while e < len(text) and text[e] in CLOSE and (text[e] != '"' or inside[e]):
                     e += 1
-                put(s[:1] if s != "..." else s, 0, Batch._prior(text, s, previous, a, b, e, bool(inside[e - 1]) and e > b, bool(inside[e])), e, STOP)
+                p = Batch._prior(text, s, previous, a, b, e, bool(inside[e - 1]) and e > b, bool(inside[e]))
+                put(s[:1] if s != "..." else s, 0, p, e, SHORT if p == MAYBE else STOP)
                 unpunctuated()
                 words, speech, previous = 0, [], s
                 continue
             if kind == "other":
                 if s in OPEN or s in CLOSE:
-                    if stop[-1] != STOP and at[-1] == a and len(ids) > first:
+                    if stop[-1] not in (STOP, SHORT) and at[-1] == a and len(ids) > first:
                         at[-1] = b if s in CLOSE and inside[a] else at[-1]
                     continue
                 put(s, 0, 0.0, b)
@@ -202,7 +206,7 @@ class Batch:
                 continue
             if kind == "kana":
                 put("P:" + s[:2], 0, 0.0, b)
-                put("S:" + s[-3:], 0, 0.0, b, SPACELESS)
+                put("S:" + s[-3:], 0, 0.05 if text[b : b + 1].isspace() and not inside[b] else 0.0, b, KANJI)
                 previous = s
                 continue
             words += 1
@@ -247,13 +251,13 @@ class Batch:
         if not starts:
             return 0.15
         if len(before) == 1 and before.isalpha():
-            return 0.03
+            return 0.5 if before.islower() and re.search(r"\d\s?$", text[max(0, a - 4) : a - 1]) else 0.03  # a unit, else an initial
         if "." in before and not before[:1].isdigit():
-            return 0.75 if nxt in OPEN else 0.4
+            return 0.75 if nxt in OPEN else 0.6
         if before[:1].isdigit():
             return 0.4
-        if before[:1].isupper() and len(before) <= 4:
-            return 0.2
+        if 1 < len(before) <= 5 and before[:1].isupper() and before.isalpha():
+            return MAYBE
         return 0.95
 
     # the model -----------------------------------------------------------------------------
@@ -289,12 +293,14 @@ class Batch:
         add(_mix(10, bound), real * pj)
         add(_mix(6, x), real * 1.0)
         capital = self.cap[2:]
-        within = real & (self.prior[1:-1] == 0)  # surely inside a sentence
-        add(_mix(7, x), (capital > 0) * within * 1.0)
-        add(_mix(8, x), (capital == 2) * within * 1.0)
+        within = real * (1 - pj)  # inside a sentence
+        add(_mix(7, bound, x), (capital > 0) * within)
+        add(_mix(8, bound, x), (capital == 2) * within)
         # words before a stop's boundary, for text that has no stops
-        s = self.stop[1:-1] == STOP
+        s = (self.stop[1:-1] == STOP) | (self.stop[1:-1] == SHORT)
         add(_mix(9, np.concatenate([[NONE], h2[:-1]]), h2), s * pj)
+        add(_mix(12, h2), s * pj)
+        add(_mix(11, h2), (h1 == _id(".")) * 1.0)
         add(_mix(1, np.zeros(1)), np.array([real.sum() * 1.0]))
         return _summed(np.concatenate(events), np.concatenate(weights))
 
@@ -313,20 +319,32 @@ class Batch:
         h2, h1, x = h2[j], h1[j], x[j]
         y = np.concatenate([self.ids, [NONE]])[pick + 2]
         mu = 2.0
+        def given(event: np.ndarray, n: np.ndarray, lower: np.ndarray) -> np.ndarray:
+            """Share of an event after a history seen n times, discounted so that a place doesn't vouch for itself; a tenth is kept for what is new."""
+            return (np.maximum(c[event] - 0.75, 0) + (mu + 0.1 * n) * lower) / (1.1 * n + mu)
+
         uni = lambda w: (c[_mix(6, w)] + 0.1) / total
-        bi = lambda g, w: (c[_mix(5, g, w)] + mu * uni(w)) / (c[_mix(4, g)] + mu)
-        tri = lambda f, g, w: (c[_mix(3, f, g, w)] + mu * bi(g, w)) / (c[_mix(2, f, g)] + mu)
-        start = lambda w: (c[_mix(5, bs, w)] + mu * uni(w)) / (ends + mu)
+        bi = lambda g, w: given(_mix(5, g, w), c[_mix(4, g)], uni(w))
+        tri = lambda f, g, w: given(_mix(3, f, g, w), c[_mix(2, f, g)], bi(g, w))
+        start = lambda w: given(_mix(5, bs, w), ends, 0.1 * uni(w))  # noqa: E731  as far from the single word as tri
         # the class prior stands in where a history hasn't been seen
         pri = self.prior[pick]
+        short = self.stop[pick] == SHORT
+        if short.any():  # a form that hardly ever goes without the stop is an abbreviation
+            seen_w = c[_mix(4, h2)]
+            bare_share = np.clip(seen_w - c[_mix(11, h2)], 0, None) / (seen_w + 2)
+            pri = np.where(short, 0.1 / (1 + seen_w / 10) + 0.85 * np.clip(8 * (bare_share - 0.02), 0, 1), pri)
         stop_b = lambda f: (c[_mix(3, f, h1, bs)] + mu * (c[_mix(5, h1, bs)] + mu * pri) / (c[_mix(4, h1)] + mu)) / (c[_mix(2, f, h1)] + mu)
-        bare = self.stop[pick] != STOP
+        bare = (self.stop[pick] != STOP) & (self.stop[pick] != SHORT)
         spoken = c[_mix(9, h2, h1)]
         free = np.where(bare, (spoken + mu * 0.02) / (spoken + c[_mix(2, h2, h1)] + mu), 0)
+        kanji = self.stop[pick] == KANJI
+        if kanji.any():  # how often a stretch of this ending stands before a stop elsewhere
+            free = np.where(kanji, (c[_mix(12, h1)] + mu * 0.02) / (c[_mix(4, h1)] + mu), free)
         thai = self.stop[pick] == SPACELESS
         ends_here = {0: np.where(bare & ~thai, free, stop_b(h2)), 1: np.where(bare & ~thai, free, stop_b(bs))}
-        upper, seen = c[_mix(8, x)], c[_mix(7, x)]
-        mid = (upper + 0.3) / (seen + 2)
+        upper, seen = c[_mix(8, bs, x)], c[_mix(7, bs, x)]
+        mid = (upper + 0.5) / (seen + 1.5)
         known, big = self.cap[pick + 1] > 0, self.cap[pick + 1] == 2
         case0, case1 = np.where(known, np.where(big, mid, 1 - mid), 1.0), np.where(known, np.where(big, 0.97, 0.03), 1.0)
         # the prior class weighs like one more witness beside the words; speech has none
@@ -397,21 +415,53 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return each, np.bincount(back, n, len(each))
 
 
+class _Wanted(Model):
+    """Notes the events that are asked for; knows none."""
+
+    def __init__(self):
+        self.asked: list[np.ndarray] = []
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        self.asked.append(np.atleast_1d(keys))
+        return np.zeros(len(self.asked[-1]))
+
+
+READ = "batch bigint, holder array<string>, holder_id array<string>, texts array<string>, tokens binary"
+
+
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts in batches, each with its packed tokens."""
+    """Texts in numbered batches, each with its packed tokens."""
+    no = TaskContext.get().partitionId() << 32
     for pdf in frames:
         for part in _batches(pdf):
             texts = part["text"].tolist()
-            yield pd.DataFrame({"holder": [part["holder"].tolist()], "holder_id": [part["holder_id"].tolist()], "texts": [texts], "tokens": [Batch(texts).packed()]})
+            yield pd.DataFrame({"batch": [no], "holder": [part["holder"].tolist()], "holder_id": [part["holder_id"].tolist()], "texts": [texts], "tokens": [Batch(texts).packed()]})
+            no += 1
+
+
+def _wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The events whose counts a batch needs."""
+    for pdf in frames:
+        for no, raw in zip(pdf["batch"], pdf["tokens"]):
+            w = _Wanted()
+            Batch.unpacked(raw).posterior(w)
+            if w.asked:
+                keys = np.unique(np.concatenate(w.asked))
+                yield pd.DataFrame({"batch": np.full(len(keys), no), "key": keys})
+
+
+def _own(r, model: Model | None) -> Model | None:
+    """The model of a row: its own events where it carries them, else the one sent out."""
+    return Model(np.asarray(r.keys, np.int64), np.asarray(r.n, float)) if hasattr(r, "n") and r.n is not None else model
 
 
 def _count(model: Model | None):
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, n, size = [], [], 0
         for pdf in frames:
-            for raw in pdf["tokens"]:
-                b = Batch.unpacked(raw)
-                k, x = b.counts(b.prior if model is None else b.posterior(model))
+            for r in pdf.itertuples():
+                b, m = Batch.unpacked(r.tokens), _own(r, model)
+                k, x = b.counts(b.prior if m is None else b.posterior(m))
                 keys.append(k)
                 n.append(x)
                 size += len(k)
@@ -431,7 +481,7 @@ def _decode(model: Model):
         for pdf in frames:
             for r in pdf.itertuples():
                 b = Batch.unpacked(r.tokens)
-                rows = list(b.spans(list(r.texts), b.posterior(model)))
+                rows = list(b.spans(list(r.texts), b.posterior(_own(r, model))))
                 if rows:
                     n, no, a, e = map(np.array, zip(*rows))
                     yield pd.DataFrame({"holder": np.array(r.holder, object)[n], "holder_id": np.array(r.holder_id, object)[n], "sent_no": no.astype(np.int32), "begin_pos": a.astype(np.int32), "end_pos": e.astype(np.int32)})
@@ -439,19 +489,25 @@ def _decode(model: Model):
     return scan
 
 
-def _model(texts: DataFrame, before: Model | None) -> Model:
-    """Counts over all texts; at most MOST of them reach the driver."""
-    got = cut(texts.select("tokens").mapInPandas(_count(before), "key bigint, n double").groupBy("key").agg(F.sum("n").alias("n")))
-    sizes = {r["b"]: r["c"] for r in got.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c")).collect()}
-    least, kept = -20, sum(sizes.values())
-    while kept > MOST:
-        kept -= sizes.get(least, 0)
-        least += 1
-    pdf = got.where(F.col("n") >= 2.0**least).toPandas()
+def _with_model(texts: DataFrame, wanted: DataFrame, before: Model | DataFrame | None) -> tuple[DataFrame, Model | None]:
+    """Batches with the model they need: one for all if it is small, else each with its own events."""
+    if not isinstance(before, DataFrame):
+        return texts, before
+    own = wanted.join(before, "key").groupBy("batch").agg(F.collect_list(F.struct("key", "n")).alias("own"))
+    return texts.join(own.select("batch", F.col("own.key").alias("keys"), F.col("own.n").alias("n")), "batch", "left"), Model(np.zeros(0, np.int64), np.zeros(0))
+
+
+def _model(texts: DataFrame, wanted: DataFrame, before: Model | DataFrame | None, most: int) -> Model | DataFrame:
+    """Counts over all texts: on the driver if there are at most ``most`` of them, else a table."""
+    batches, sent = _with_model(texts.select("batch", "tokens"), wanted, before)
+    got = cut(batches.mapInPandas(_count(sent), "key bigint, n double").groupBy("key").agg(F.sum("n").alias("n")))
+    if got.count() > most:
+        return got
+    pdf = got.toPandas()
     return Model(pdf["key"].to_numpy(np.int64), pdf["n"].to_numpy(float))
 
 
-def sentences(texts: DataFrame, rounds: int = 3) -> DataFrame:
+def sentences(texts: DataFrame, rounds: int = 3, most: int = MOST) -> DataFrame:
     """holder, holder_id, sent_no, begin_pos, end_pos of the sentences of ``texts`` (holder, holder_id, text).
 
     Positions are code points, end exclusive, without outer blanks; every character that isn't
@@ -462,15 +518,21 @@ def sentences(texts: DataFrame, rounds: int = 3) -> DataFrame:
     boundary behind two words, of the next words behind a boundary, and of going on. Counts of
     all texts start from what stops, particles and blank lines suggest and are taken again from
     the forward-backward posteriors (``rounds`` times in all); a boundary is set where its
-    posterior is a half or more. Blank lines always divide, matched quotations and brackets never
-    do. Scripts without spaces enter as the beginnings and ends of their stretches; long
-    stretches without any stop are open to a boundary behind every word. The model
-    keeps at most ``MOST`` events, the most frequent ones, so that what is collected and sent out
-    is bounded however large the corpus.
+    posterior is a half or more. A short capitalised word counts as an abbreviation as far as it
+    never goes without its stop in the corpus. Blank lines always divide, matched quotations and
+    brackets never do. Scripts without spaces enter as the beginnings and ends of their stretches;
+    a blank behind a Japanese stretch is open to a boundary, and so is every word of a stretch of
+    ``SPEECH_WORDS`` words or more without any stop (a shorter one is one sentence).
+
+    No event is left out, however many there are. Up to ``most`` of them are collected and sent
+    to every task; a larger model stays a table, and each batch of texts gets the counts of its own
+    events by a join. Both ways give the same result.
     """
     texts = texts.select("holder", "holder_id", "text").where(F.length(F.trim("text")) > 0)
-    texts = cut(texts.mapInPandas(_read, "holder array<string>, holder_id array<string>, texts array<string>, tokens binary"))
+    texts = cut(texts.mapInPandas(_read, READ))
+    wanted = texts.select("batch", "tokens").mapInPandas(_wanted, "batch bigint, key bigint")
     model = None
     for _ in range(rounds):
-        model = _model(texts, model)
-    return texts.mapInPandas(_decode(model), "holder string, holder_id string, sent_no int, begin_pos int, end_pos int")
+        model = _model(texts, wanted, model, most)
+    batches, sent = _with_model(texts, wanted, model)
+    return batches.mapInPandas(_decode(sent), "holder string, holder_id string, sent_no int, begin_pos int, end_pos int")
