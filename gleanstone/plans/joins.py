@@ -214,8 +214,8 @@ def jn19(spark: SparkSession, d: str) -> DataFrame:
     return claim_spans(spark, d).join(jn13(spark, d).select("claim_id").distinct(), "claim_id", "left_anti").select("claim_id")
 
 
-WINDOWS = """c AS (SELECT key, max("end") AS dur FROM gaze_events WHERE "end" < 600 GROUP BY key), win AS (SELECT key, unnest(generate_series(0, CAST(floor(dur / 2) AS BIGINT))) * 2.0::DOUBLE AS ws FROM c),
-g AS (SELECT DISTINCT ON (event_id) event_id, key, regexp_replace(lower(trim(event)), '[ \\-]', '_', 'g') AS event, start, "end" FROM gaze_events WHERE event IS NOT NULL AND start < "end" AND "end" < 600)"""
+WINDOWS = """c AS (SELECT key, max("end") AS dur FROM gaze_events GROUP BY key), win AS (SELECT key, unnest(generate_series(0, CAST(floor(dur / 2) AS BIGINT))) * 2.0::DOUBLE AS ws FROM c),
+g AS (SELECT DISTINCT ON (event_id) event_id, key, regexp_replace(lower(trim(event)), '[ \\-]', '_', 'g') AS event, start, "end" FROM gaze_events WHERE event IS NOT NULL AND start < "end")"""
 
 
 @query("jn20", f"""WITH {WINDOWS}, o AS (SELECT win.key, ws, event, sum(least("end", ws + 2) - greatest(start, ws)) AS ov FROM win JOIN g ON win.key = g.key AND start < ws + 2 AND "end" > ws GROUP BY 1, 2, 3)

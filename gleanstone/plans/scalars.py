@@ -264,7 +264,7 @@ def str29(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("feedback_id", "t.kind").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t.text")), F.lit(0)).alias("letters"))
 
 
-@query("str30", "SELECT doc_id, 'Rate the answer from 1 to 10.' || chr(10) || left(text, 2000) AS prompt FROM documents WHERE text IS NOT NULL AND source = 'interview_answer'")
+@query("str30", "SELECT doc_id, 'Rate the answer from 1 to 10.' || chr(10) || text AS prompt FROM documents WHERE text IS NOT NULL AND regexp_replace(lower(trim(source)), '[ \\-]', '_', 'g') = 'interview_answer'")
 def str30(spark: SparkSession, d: str) -> DataFrame:
     """Rating prompts with the whole answer, whatever the spelling of its source."""
     return docs(spark, d).where(code_form(F.col("source")) == "interview_answer").select("doc_id", F.concat(F.lit("Rate the answer from 1 to 10.\n"), "text").alias("prompt"))

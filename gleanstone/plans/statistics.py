@@ -35,8 +35,7 @@ def st01(spark: SparkSession, d: str) -> DataFrame:
 
 
 RESAMPLES = 2000
-BOOT = 200  # of the SQL
-BOOT_SQL = f"""WITH {PAIRS}, i AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY seg) AS n FROM p), b AS (SELECT unnest(range({BOOT})) AS b),
+BOOT_SQL = f"""WITH {PAIRS}, i AS (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY seg) AS n FROM p), b AS (SELECT unnest(range({RESAMPLES})) AS b),
 s AS (SELECT b, seg, k AS slot, {draw_sql('b', 'seg', 'k')} % n AS pick FROM i, b), g AS (SELECT s.b, s.seg, i.x, i.y, i.z FROM s JOIN i ON s.seg = i.seg AND s.pick = i.k)"""
 
 
@@ -231,7 +230,7 @@ def st18(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("vec_id", (F.col("i") % 4).alias("feature_group")).agg(F.round(F.sum((F.col("i") + 1) / 64 * (F.col("v") - F.col("m")) / F.col("s")), 6).alias("contribution"))
 
 
-@query("ver17", f"WITH {CLAIMS}, r AS (SELECT lower(trim(key)) AS k, approach, count(*) FILTER (verdict IN ('contradicted', 'unsupported', 'out_of_range')) / nullif(count(*) FILTER (verdict <> 'not_checkable'), 0) AS rate FROM c GROUP BY 1, 2), d AS (SELECT a.k, a.rate - b.rate AS d FROM r a JOIN r b ON a.k = b.k WHERE a.approach = 'grounded' AND b.approach = 'hybrid' AND a.rate IS NOT NULL AND b.rate IS NOT NULL),\ni AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS j, count(*) OVER () AS n FROM d), b AS (SELECT unnest(range({BOOT})) AS b), m AS (SELECT b, avg(y.d) AS m FROM (SELECT b, {draw_sql('b', 'j')} % n AS pick FROM i, b) s JOIN i y ON s.pick = y.j GROUP BY b)\nSELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m WHERE (SELECT count(*) FROM d) >= 3")
+@query("ver17", f"WITH {CLAIMS}, r AS (SELECT lower(trim(key)) AS k, approach, count(*) FILTER (verdict IN ('contradicted', 'unsupported', 'out_of_range')) / nullif(count(*) FILTER (verdict <> 'not_checkable'), 0) AS rate FROM c GROUP BY 1, 2), d AS (SELECT a.k, a.rate - b.rate AS d FROM r a JOIN r b ON a.k = b.k WHERE a.approach = 'grounded' AND b.approach = 'hybrid' AND a.rate IS NOT NULL AND b.rate IS NOT NULL),\ni AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS j, count(*) OVER () AS n FROM d), b AS (SELECT unnest(range({RESAMPLES})) AS b), m AS (SELECT b, avg(y.d) AS m FROM (SELECT b, {draw_sql('b', 'j')} % n AS pick FROM i, b) s JOIN i y ON s.pick = y.j GROUP BY b)\nSELECT round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m WHERE (SELECT count(*) FROM d) >= 3")
 def ver17(spark: SparkSession, d: str) -> DataFrame:
     """Paired bootstrap of the difference of two approaches' rates over clips."""
     from gleanstone.operators.ranking import global_row_number

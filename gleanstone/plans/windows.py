@@ -205,7 +205,7 @@ def win16(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", "chunk", F.size(part).alias("n_words"), F.array_join(part, " ").alias("text"))
 
 
-@query("win17", """WITH c AS (SELECT key, max("end") AS dur FROM gaze_events WHERE "end" < 600 GROUP BY key), w AS (SELECT key, dur, unnest(generate_series(0, CAST(floor(dur / 2) AS BIGINT))) * 2.0 AS s FROM c)
+@query("win17", """WITH c AS (SELECT key, max("end") AS dur FROM gaze_events GROUP BY key), w AS (SELECT key, dur, unnest(generate_series(0, CAST(floor(dur / 2) AS BIGINT))) * 2.0 AS s FROM c)
 SELECT key, CAST(s AS DOUBLE) AS start, CAST(round(least(s + 2.0, dur), 3) AS DOUBLE) AS "end" FROM w WHERE least(s + 2.0, dur) - s >= 0.5""")
 def win17(spark: SparkSession, d: str) -> DataFrame:
     """Labelling windows of two seconds; a last one under half a second is dropped."""

@@ -1,4 +1,4 @@
-"""Bootstrap queries take 2000 resamples: the rows of their SQL, but for its number of resamples."""
+"""Bootstrap queries take 2000 resamples: the rows of their SQL."""
 
 from pathlib import Path
 
@@ -12,12 +12,12 @@ from gleanstone.plans import registry
 def test_two_thousand_resamples(spark, sf, name):
     sf = sf.replace("sf0.001", "sf0.01") if name == "ver17" else sf  # the smaller tables have under three clips of both approaches
     sql = registry.SQL[name]
-    assert sql.count("range(200)") == 1
+    assert sql.count("range(2000)") == 1
     c = duckdb.connect()
     for p in Path(sf).glob("*.parquet"):
         c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     df = registry.QUERIES[name](spark, sf)
-    want = c.sql(f"SELECT {', '.join(df.columns)} FROM ({sql.replace('range(200)', 'range(2000)')})").fetchall()
+    want = c.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
     near = lambda r: tuple(pytest.approx(v, rel=1e-7, abs=2e-9) if isinstance(v, float) else v for v in r)
     got = sorted(tuple(r) for r in df.collect())
     assert got and None not in got[0] and got == [near(r) for r in sorted(want)]
