@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_CHARS = 4_000_000  # held-out characters that one pass over the corpus is held against
-STEP, RAREST = 16, 3  # of every 16 q-grams of an item in a row, the 3 rarest are looked up
-CELL = 32  # letters of an item that count as touched together
+Q = (16, 8, 4, 2, 1)  # lengths of q-grams; an item takes the longest for which the lemma still asks for a hit
+WORD, DENSE_WORD = 5, 2  # letters of a changed word, in scripts of letters and in dense ones
 BAND = 64  # diagonals in half a band; bands overlap by half
 WIDE = 40  # diagonals at either side in the alignment
 PENALTY = 1.5  # of an edited character, against 1 for a matching one
@@ -20,7 +20,7 @@ PENALTY = 1.5  # of an edited character, against 1 for a matching one
 MARKS = re.compile(r"\[\d+(?:[.:,]\d+)*\s?s?\]|\d\d?:\d\d:\d\d(?:[.,]\d+)?(?:\s*-->\s*\d\d?:\d\d:\d\d(?:[.,]\d+)?)?|\\[nrt\"]|<[^<>\n]{0,80}>|&[a-z]{2,6};|(?<=\w)-\n(?=\w)")
 ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 
-_points = np.arange(0x30000)
+_points = np.arange(0x33500)  # no letters or digits beyond
 _lower, _keep = np.zeros(len(_points), np.uint32), np.zeros(len(_points), bool)
 for _c in range(len(_points)):
     if not 0xD800 <= _c < 0xE000:
@@ -39,6 +39,13 @@ def squeeze(text: str) -> np.ndarray:
     return _lower[c[_keep[c]]]
 
 
+def words(text: str) -> str:
+    """The text's words as ``squeeze`` reads them, a blank at either side of each; dense scripts without blanks."""
+    if dense(squeeze(text)):
+        return "".join(map(chr, squeeze(text)))
+    return " " + " ".join(w for x in MARKS.sub(" ", text).split() for part in re.split(r"[^\w\u0e00-\u0e7f]+|_", x) if (w := "".join(map(chr, squeeze(part))))) + " "
+
+
 def grams(c: np.ndarray, q: int) -> np.ndarray:
     """Hashes of all q-grams; those that run over a separator (0) are 0."""
     n = len(c) - q + 1
@@ -60,44 +67,55 @@ def dense(c: np.ndarray) -> bool:
     return len(c) > 0 and np.mean(c >= 0x2E80) > 0.3
 
 
+def step(q: int) -> int:
+    """Every so many letters of an item a q-gram is looked up, at every place of a document."""
+    return max(1, q // 4)
+
+
+def lemma(stretch: np.ndarray, q: int, word: int, edited: float) -> np.ndarray:
+    """q-gram lemma: how many of its looked-up q-grams a stretch of so many letters keeps at least.
+
+    Up to the share ``edited`` of its letters may be changed, in words of ``word`` letters; a changed
+    word touches at most q + word - 1 neighbouring q-grams, so one in ``step`` of those, rounded up.
+    """
+    words = np.floor(edited * stretch / word)
+    return (stretch - q + 1) // step(q) - words * -(-(q + word - 1) // step(q))
+
+
 class Index:
-    """The looked-up q-grams of a block of items."""
+    """The q-grams of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str], part: float):
+    def __init__(self, ids: list[int], texts: list[str], part: float, least_score: float):
         self.ids, self.part = np.array(ids), part
         self.text = [squeeze(t) for t in texts]
         self.n = np.array([len(t) for t in self.text])
-        self.tables = {q: self._table([i for i, t in enumerate(self.text) if len(t) >= q and dense(t) == (q == 8)], q) for q in (16, 8)}
-
-    def _table(self, items: list[int], q: int):
-        every = {i: grams(self.text[i], q) for i in items}
-        allg = np.concatenate([np.unique(g) for g in every.values()]) if items else np.zeros(0, np.uint64)
-        keys, df = np.unique(allg, return_counts=True)
-        item, at, key = [], [], []
-        for i, g in every.items():
-            f = df[np.searchsorted(keys, g)]
-            for a in range(0, len(g), STEP):
-                rare = np.sort(np.argsort(f[a : a + STEP], kind="stable")[:RAREST]) + a
-                item += [i] * len(rare)
-                at += rare.tolist()
-                key.append(g[rare])
-        key = np.concatenate(key) if key else np.zeros(0, np.uint64)
+        edited = (1 - least_score) / (1 + PENALTY)  # edits of which the alignment keeps the asked score
+        # of a long stretch, some part of this length has no more edits than the whole; there they can't leave the band
+        stretch = np.minimum(np.ceil(part * self.n), int(BAND / edited))
+        word = np.array([DENSE_WORD if dense(t) else WORD for t in self.text])
+        self.whole = {int(i): words(texts[i]) for i in np.flatnonzero((stretch < np.where(word == WORD, Q[0], Q[1])) & (self.n > 0))}
+        stretch[list(self.whole)] = self.n[list(self.whole)]
+        edited = np.where(np.isin(np.arange(len(texts)), list(self.whole)), 0.0, edited)
+        self.least, size = np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for q in Q:
+            asked = np.array([lemma(s, q, w, e) for s, w, e in zip(stretch, word, edited)])
+            fits = (size == 0) & (asked >= 1) & ((q <= 8) | (word == WORD))
+            size[fits], self.least[fits] = q, asked[fits]
+        self.tables = {q: self._table(np.flatnonzero(size == q), q) for q in Q}
+
+    def _table(self, items: np.ndarray, q: int):
+        """The items' q-grams in order of their hashes, with a bitmap of hash prefixes."""
+        every = [grams(self.text[i], q)[:: step(q)] for i in items]
+        key = np.concatenate(every) if every else np.zeros(0, np.uint64)
+        item = np.repeat(items, [len(g) for g in every]).astype(np.int64)
+        at = np.concatenate([step(q) * np.arange(len(g)) for g in every]) if every else np.zeros(0, np.int64)
         order = np.argsort(key, kind="stable")
-        key, item, at = key[order], np.array(item, np.int64)[order], np.array(at, np.int64)[order]
+        key, item, at = key[order], item[order], at[order]
         each, first, count = np.unique(key, return_index=True, return_counts=True)
-        seen = np.zeros(1 << 20, bool)
-        seen[(each >> np.uint64(44)).astype(np.int64)] = True
+        seen = np.zeros(1 << 22, bool)
+        seen[(each >> np.uint64(42)).astype(np.int64)] = True
         return each, first, count, item, at, seen
 
-    def least(self, item: np.ndarray, q: int) -> np.ndarray:
-        """q-gram lemma: hits that a stretch of the asked part keeps within the edit budget.
-
-        The stretch holds RAREST of every STEP q-grams. A changed word of five letters touches at
-        most q + 4 neighbouring q-grams; the budget is one changed word in every 2q + 8 letters.
-        """
-        stretch = np.maximum(self.part * self.n[item] - q - STEP, 0)
-        return np.maximum(3, 0.5 * stretch * RAREST / STEP).astype(np.int64)
-
     def candidates(self, docs: list[np.ndarray]):
         """(document, item, diagonal, first and last item position, hits) of bands with enough hits."""
         out = []
@@ -106,10 +124,10 @@ class Index:
         zero = np.zeros(1, np.uint32)
         joined = np.concatenate([x for d in docs for x in (d, zero)]) if docs else zero
         for q, (each, first, count, item, at, seen) in self.tables.items():
-            if not len(each) or q == 8 and not np.any(joined >= 0x2E80):
+            if not len(each):
                 continue
             g = grams(joined, q)
-            pos = np.flatnonzero(seen[(g >> np.uint64(44)).astype(np.int64)] & (g != 0))
+            pos = np.flatnonzero(seen[(g >> np.uint64(42)).astype(np.int64)] & (g != 0))
             slot = np.minimum(np.searchsorted(each, g[pos]), len(each) - 1)
             good = each[slot] == g[pos]
             pos, slot = pos[good], slot[good]
@@ -121,25 +139,27 @@ class Index:
             post = np.repeat(first[slot], n) + offset
             p, it, k = np.repeat(pos, n), item[post], at[post]
             doc = np.searchsorted(begins, p, side="right") - 1
-            pair = doc * len(self.n) + it
-            enough = np.bincount(pair, minlength=len(docs) * len(self.n))[pair] >= self.least(it, q)
+            # pairs may share a counter, which only lets more of them on
+            pair = (doc * 0x9E3779B1 + it) & (1 << 20) - 1
+            enough = np.bincount(pair, minlength=1 << 20)[pair] >= self.least[it]
             p, it, k, doc = p[enough], it[enough], k[enough], doc[enough]
             if not len(p):
                 continue
             diagonal = p - begins[doc] - k
             band = np.concatenate([diagonal // BAND, diagonal // BAND + 1])
             rows = np.tile(np.arange(len(p)), 2)
-            key = np.stack([doc[rows], it[rows], band], 1)
-            order = np.lexsort(key.T[::-1])
-            key, rows = key[order], rows[order]
-            cut = np.flatnonzero(np.any(np.diff(key, axis=0), 1)) + 1
-            begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(rows)]])
-            enough = np.flatnonzero(end - begin >= self.least(key[begin, 1], q))
-            for a, b in zip(begin[enough], end[enough]):
+            order = np.lexsort((k[rows], band, it[rows], doc[rows]))
+            rows, band = rows[order], band[order]
+            new = np.concatenate([[True], (np.diff(doc[rows]) != 0) | (np.diff(it[rows]) != 0) | (np.diff(band) != 0)])
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(rows))
+            # a q-gram of the item counts once in a band
+            fresh = np.cumsum(new | np.concatenate([[True], np.diff(k[rows]) != 0]))
+            hits = fresh[end - 1] - fresh[begin] + 1
+            enough = np.flatnonzero(hits >= self.least[it[rows[begin]]])
+            for a, b, n in zip(begin[enough], end[enough], hits[enough]):
                 r = rows[a:b]
-                # the hits lie over as much of the item as the stretch has to cover
-                if len(np.unique(k[r] // CELL)) >= 0.75 * self.part * self.n[key[a, 1]] / CELL:
-                    out.append((int(key[a, 0]), int(key[a, 1]), int(np.median(diagonal[r])), int(k[r].min()), int(k[r].max()) + q, int(b - a)))
+                out.append((int(doc[r[0]]), int(it[r[0]]), int(np.median(diagonal[r])), int(k[r[0]]), int(k[r[-1]]) + q, int(n)))
         return out
 
     def verify(self, docs: list[np.ndarray], found: list[tuple], least_score: float, size: int = 64) -> dict[tuple[int, int], float]:
@@ -150,7 +170,10 @@ class Index:
         out: dict[tuple[int, int], float] = {}
         bands: dict[tuple[int, int], list[tuple]] = {}
         for x in sorted(found, key=lambda x: -x[5]):
-            bands.setdefault(x[:2], []).append(x)
+            near = bands.setdefault(x[:2], [])
+            # overlapping halves often hold the same hits
+            if not any(y[2] == x[2] and y[3] <= x[3] and y[4] >= x[4] for y in near):
+                near.append(x)
         turn = 0
         while rest := sorted((b[turn] for pair, b in bands.items() if len(b) > turn and pair not in out), key=lambda x: x[4] - x[3]):
             for a in range(0, len(rest), size):
@@ -210,8 +233,11 @@ def _scan(index: Index, least_score: float):
         for pdf in frames:
             size = np.cumsum(pdf["text"].str.len().to_numpy()) // 1_000_000
             for _, part in pdf.groupby(size, sort=False):
-                docs = [squeeze(t) for t in part["text"]]
-                hits = index.verify(docs, index.candidates(docs), least_score)
+                texts = part["text"].tolist()
+                docs = [squeeze(t) for t in texts]
+                found = index.candidates(docs)
+                hits = index.verify(docs, [x for x in found if x[1] not in index.whole], least_score)
+                hits |= {x[:2]: 1.0 for x in found if x[1] in index.whole and index.whole[x[1]] in words(texts[x[0]])}
                 if hits:
                     key = np.array(list(hits))
                     yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[key[:, 0]], "item_id": index.ids[key[:, 1]], "share": list(hits.values())})
@@ -219,21 +245,23 @@ def _scan(index: Index, least_score: float):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, part: float = 0.4, least_score: float = 0.7) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, part: float = 0.4, least_score: float = 0.7, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, share: documents that hold at least ``part`` of an item's text in one stretch.
 
     ``docs`` (doc_id BIGINT, text), ``items`` (item_id BIGINT, text). Texts are compared by their
     letters and digits; case, punctuation, blanks, line breaks, time marks and markup don't count,
     and single words may differ. ``share`` is the part of the item that the best stretch covers.
-    Null, empty and too short texts match nothing; a repeated (doc_id, text) gives one row; the
+    Null and empty texts and texts without letters and digits match nothing; a repeated (doc_id, text) gives one row; the
     same text under several ids leaks under each; empty tables give an empty result; other columns
     are ignored.
 
-    Items are taken in blocks of at most BLOCK_CHARS characters, each held against all documents
-    in one scan, so that the index sent out is bounded however many items there are. Of an item's
-    q-grams the rarest of each neighbourhood are looked up in the documents; hits are counted in
-    overlapping bands of diagonals; bands that meet the q-gram lemma's bound for the edit budget
-    are verified by banded local alignment.
+    Items are taken in blocks of about ``block_chars`` characters, each held against all documents
+    in one scan, so that the index sent out is bounded however many items there are. An item's
+    q-grams at regular steps are looked up at every place of the documents, the different ones
+    counted in overlapping bands of diagonals, and bands that meet the q-gram lemma's bound for
+    the edit budget verified by banded local alignment; no stretch within the budget is missed. The budget is what the score allows: (1 - ``least_score``) / 2.5 of the letters,
+    in changed words. An item of which ``part`` is shorter than a q-gram must stand in the document
+    whole, word for word; its q-grams are shorter, down to single letters.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null and length(text) > 0")
     items = items.select("item_id", "text").where("item_id is not null and length(text) > 0").distinct()
@@ -243,7 +271,7 @@ def leaks(docs: DataFrame, items: DataFrame, part: float = 0.4, least_score: flo
         for r in items.toLocalIterator():
             block.append(r)
             size += len(r["text"])
-            if size >= BLOCK_CHARS:
+            if size >= block_chars:
                 yield block
                 block, size = [], 0
         if block:
@@ -252,7 +280,7 @@ def leaks(docs: DataFrame, items: DataFrame, part: float = 0.4, least_score: flo
     schema = "doc_id bigint, item_id bigint, share double"
     out = None
     for block in blocks():
-        one = docs.mapInPandas(_scan(Index([r["item_id"] for r in block], [r["text"] for r in block], part), least_score), schema)
+        one = docs.mapInPandas(_scan(Index([r["item_id"] for r in block], [r["text"] for r in block], part, least_score), least_score), schema)
         out = one if out is None else out.unionByName(one)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)

@@ -37,17 +37,14 @@ def test_planted_leaks_and_decoys(spark):
     assert leaks(df.limit(0), it).count() == 0 and leaks(df, it.limit(0)).count() == 0
 
 
-def test_many_blocks_and_equal_items(spark, monkeypatch):
-    import gleanstone.llm.leakage as m
-
-    monkeypatch.setattr(m, "BLOCK_CHARS", 500)
+def test_many_blocks_and_equal_items(spark):
     rng = random.Random(4)
     items = {i: make(rng, 50) for i in range(12)} | {20: None, 21: None}
     items[20] = items[21] = items[3]
     it = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
     docs = spark.createDataFrame([(i, make(rng, 30) + " " + t) for i, t in items.items()], "doc_id bigint, text string")
     want = {(i, i) for i in items} | {(a, b) for a in (3, 20, 21) for b in (3, 20, 21)}
-    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, it).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, it, block_chars=500).collect()} == want
 
 
 def test_dense_scripts_and_long_texts(spark):
@@ -61,4 +58,26 @@ def test_dense_scripts_and_long_texts(spark):
 def test_squeeze():
     s = "".join(map(chr, squeeze("A-b,\n[12.3s] c\\nD <b>e</b> \\u0e01 ß")))
     assert s == "abcdeกß"
-    assert Index([1], [""], 0.4).candidates([squeeze("abc")]) == []
+    assert Index([1], [""], 0.4, 0.7).candidates([squeeze("abc")]) == []
+
+
+def test_short_items_stand_whole(spark):
+    it = spark.createDataFrame([(1, "Cabin!"), (2, "a b"), (3, "見学"), (4, "\U00030000\U00030001"), (5, "..."), (6, "one two three four five six seven")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "the old cabin, A-B"), (2, "cabins and abba"), (3, "学生の見学です"), (4, "x\U00030000\U00030001y"), (5, "..."), (6, "One, two\nthree four five SIX seven"), (7, "one two three four five six eight")], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, it).collect()} == {(1, 1), (1, 2), (3, 3), (4, 4), (6, 6)}
+
+
+def test_the_lemma_holds(spark):
+    """Changed words within the budget leave at least the asked q-grams."""
+    from gleanstone.llm.leakage import grams, lemma, step
+
+    rng = random.Random(7)
+    for n in (60, 120, 300):
+        text = squeeze("".join(rng.choice("abcdefghijklmnop") for _ in range(n)))
+        for _ in range(50):
+            other = text.copy()
+            for _ in range(int(0.12 * n / 5)):
+                a = rng.randrange(n - 5)
+                other[a : a + 5] = ord("z")
+            kept = sum(x in set(grams(other, 16)) for x in grams(text, 16)[rng.randrange(step(16)) :: step(16)])
+            assert kept >= lemma(n, 16, 5, 0.12)
