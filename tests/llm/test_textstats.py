@@ -9,7 +9,7 @@ PROSE = "When I worked at the harbour office, I walked through the training plan
 
 
 def kind(t):
-    return T.describe(t)[-1]
+    return T.describe([t])["kind"][0]
 
 
 @pytest.mark.parametrize("text,want", [
@@ -27,6 +27,24 @@ def test_kinds(text, want):
     assert kind(text) == want
 
 
+def test_languages_have_their_own_profiles():
+    """Prose of each language is near it; Thai with its characters shaken isn't."""
+    for text in T.PROSE.values():
+        got = T.describe([text * 3])
+        assert got["letter_divergence"][0] < 0.1 and got["word_divergence"][0] < 0.1 and got["kind"][0] == "prose"
+    shaken = list(T.PROSE["th"] * 3)
+    random.Random(3).shuffle(shaken)
+    got = T.describe(["".join(shaken)])
+    assert got["letter_divergence"][0] > T.describe([T.PROSE["th"] * 3])["letter_divergence"][0] and got["kind"][0] == "junk"
+
+
+def test_many_texts_are_counted_as_one_by_one():
+    texts = [t for _, t in T.samples()]
+    whole = T.describe(texts)
+    for i in range(0, len(texts), 7):
+        assert whole.iloc[i].tolist() == T.describe([texts[i]]).iloc[0].tolist()
+
+
 def test_divergence():
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.0, 0.5, 0.5])
     assert T.divergence(p, p) == pytest.approx(0) and T.divergence(p, q) == pytest.approx(0.5) and T.divergence(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
