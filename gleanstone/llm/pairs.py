@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 # Fixed values of the English language and of common answer formats.
 NOTHING = {"", "none", "null", "na", "nil", "nan", "empty", "tbd", "todo", "placeholder", "undefined", "notext", "noanswer", "notavailable", "notapplicable"}
@@ -21,21 +23,60 @@ BRACKETED = re.compile(r"\[[^\[\]]*\]")
 QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|„[^“]*“|«[^»]*»|'[^']{3,}'(?!\w)")
 TERMINAL = re.compile(r"[.!?…。！？][\"'”»“)\]』」*_]*$")
 WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+PLACEHOLDER = re.compile(r"\s*\[[^\[\]]*\]$")
+JOINING = re.compile(r"[,;:\-–—(/&+=\"“„«]$")
+CLOSED = re.compile(r"[\"”»)\]]$")
+LATIN, OTHER, DENSE = re.compile(r"[^A-Za-zÀ-ɏ]+"), re.compile(r"[^\W\d_A-Za-zÀ-ɏ]|[ัิ-ฺ็-๎]"), re.compile(r"[぀-ヿ㐀-鿿]")
+PRIME = (1 << 61) - 1
 INVISIBLE = re.compile(r"[​‌‍﻿­]")
 
-# Refusal grammar: SENTENCE -> HEDGE? (UNABLE TASK | RULED | DECLINED)
-UNABLE = r"\b(?:i|we)(?: can ?not| can't| won't| will not| am unable to|'m unable to| am not able to|'m not able to| must decline| must refuse| decline| refuse| would rather not|'d rather not| have been told not to| was told not to| am not allowed to|'m not allowed to| may not| should not| have to turn down| have to decline| do not feel able to| don't feel able to| prefer not to)"
-MINE = r"(?:i|we)(?:'m| am| are| were| was| have| must| can| will| would|'d)?"
-TASK = r"(?:rewrite|assess|judge|comment|coach|fill|produce|suggest|say anything|go on|answer|help|provide|continue|assist|respond|write|give|evaluate|rate|review|improve|complete|create|generate|discuss|offer|do (?:this|that)|take (?:this|that) on|this request|this task|that request)"
-REFUSALS = [
-    re.compile(rf"{UNABLE}\b[^.;!?]*?\b{TASK}\b|{UNABLE}[.!]?$"),
-    re.compile(r"\b(?:it )?would not be (?:right|appropriate|proper|fair) (?:for (?:me|us) )?to\b|\bit (?:is|would be) (?:wrong|inappropriate|not (?:right|appropriate)) (?:for (?:me|us) )?to\b"),
-    re.compile(r"\b(?:request|task|answer|question|this)\b[^.;!?]*\b(?:was|is|has been|must be|cannot be|can't be|can not be) (?:declined|refused|denied|rejected|answered here|answered|fulfilled|processed)\b"),
-    re.compile(r"\bno (?:feedback|answer|advice|comment|rewrite|coaching|assessment|suggestion|help)s? (?:will|can|could|may|is|are)\b"),
-    re.compile(r"\b(?:coaching|feedback|help|advice|assessment|this service|a rewrite|an answer) (?:is|are) not (?:available|possible|provided|offered|given)\b"),
-    re.compile(r"\b(?:guidelines|rules|policy|policies|instructions|principles) (?:rule out|forbid|prohibit|prevent|don't allow|do not allow|exclude)\b"),
-    re.compile(rf"\bnot (?:a task|something|a request|a thing)\b[^.;!?]*\b{MINE}\b|\bsomething (?:i|we) (?:have to|must|will|would rather) (?:turn down|decline|refuse|pass on|leave)\b|\boutside (?:of )?what (?:i|we) do\b|\bask (?:for )?(?:an?|another) (?:human|person)\b"),
-]
+# Refusal grammar. Words are read as classes; what no class holds is "x".
+LEXICON = {
+    "A": "i we",  # who speaks
+    "M": "can will may must should would do am are is was be been have has feel",  # present and future auxiliaries
+    "N": "not no never",
+    "B": "able allowed permitted willing comfortable authorised authorized position going told",  # what one is or isn't
+    "D": "decline declined refuse refused reject rejected denied unable turn",  # declining by one word
+    "P": "rather prefer",
+    "T": "rewrite assess judge comment coach fill produce suggest say go answer help provide continue assist respond write give evaluate rate review improve complete create generate discuss offer process take",  # what is asked for
+    "O": "request task question this that it service coaching feedback answer advice assessment rewrite comment help suggestion suggestions recommendation something thing anything",  # what is declined
+    "V": "available possible provided offered given answered fulfilled processed",
+    "G": "guideline guidelines rule rules policy policies instructions principles",
+    "F": "forbid prohibit prevent exclude disallow out",
+    "R": "right appropriate proper fair",
+    "W": "wrong inappropriate",
+    "U": "outside beyond",
+    "K": "ask contact",
+    "H": "human person",
+    "t": "to",
+    "a": "what",
+}
+CLASS = {}
+for _k, _words in LEXICON.items():
+    for _w in _words.split():
+        CLASS[_w] = CLASS.get(_w, "") + _k
+SHORT = {"can't": "can not", "cannot": "can not", "won't": "will not", "don't": "do not", "isn't": "is not", "aren't": "are not", "mustn't": "must not", "shouldn't": "should not", "wouldn't": "would not", "i'm": "i am", "i'd": "i would", "i've": "i have", "i'll": "i will", "we're": "we are", "we'd": "we would", "we've": "we have", "we'll": "we will", "it's": "it is", "that's": "that is"}
+
+
+def _any(classes: str) -> str:
+    """A word of one of the classes; a word is written as its classes and a blank."""
+    return rf"(?:[A-Za-z]*[{classes}][A-Za-z]* )"
+
+
+_X = r"(?:[A-Za-z]+ )"
+# SENTENCE -> DENIAL | DECLINING | PASSIVE | NOTHING | RULED | IMPROPER | OUTSIDE | REFERRAL
+GRAMMAR = {
+    "denial": _any("A") + _any("M") + _X + "{0,2}" + _any("N") + _X + "{0,6}" + _any("T"),  # I can not (be able to) rewrite
+    "declining": _any("A") + _any("Mt") + "{0,3}(?:" + _any("D") + "|" + _any("P") + _any("N") + "|" + _any("N") + _any("P") + ")",  # I (must) decline
+    "passive": _any("O") + _X + "{0,8}" + _any("M") + "{1,2}(?:" + _any("D") + "|" + _any("N") + _any("MB") + "{0,1}" + _any("V") + ")",  # the request is declined, can not be answered
+    "nothing": _any("N") + _any("O") + _any("M"),  # no feedback will be given
+    "ruled": _any("G") + _X + "{0,2}(?:" + _any("F") + "|" + _any("M") + _any("N") + _any("B") + "{0,1})",  # guidelines rule out
+    "improper": _any("M") + "(?:" + _any("N") + _any("M") + "{0,1}" + _any("R") + "|" + _any("W") + ")" + _X + "{0,3}" + _any("t"),  # it would not be right to
+    "outside": "(?:" + _any("U") + _X + "{0,2}" + _any("a") + "|" + _any("N") + _X + "{0,2}" + _any("O") + ")" + _any("A") + _any("M"),  # outside of what I do, not a task I will take on
+    "referral": _any("K") + _X + "{0,3}" + _any("H"),  # ask a human
+}
+REFUSAL = re.compile("|".join(GRAMMAR.values()))
+HINT = re.compile(r"\b(?:not|no|never|cannot|\w+n't|declin\w*|refus\w*|reject\w*|denied|unable|turn|rather|prefer|forbid|prohibit|prevent|exclude|disallow|out|wrong|inappropriate|outside|beyond|ask|contact)\b")
 
 
 def visible(text: str | None) -> str:
@@ -48,36 +89,71 @@ def says_nothing(text: str | None) -> bool:
     return "".join(WORDS.findall(body)).lower() in NOTHING
 
 
+def refusing(clause: str) -> bool:
+    """Whether a sentence in lower case is one of the refusal grammar."""
+    if not HINT.search(clause):
+        return False
+    words = " ".join(SHORT.get(w, w) for w in WORDS.findall(clause)).split()
+    return bool(REFUSAL.search("".join(CLASS.get(w, "x") + " " for w in words)))
+
+
 def refuses(text: str) -> bool:
-    """Whether a text declines the task: the grammar matches outside quotations, near its beginning, and little else follows."""
+    """Whether a text declines the task: one of its first two sentences is a refusal, and refusals with what leads up to them make up most of it.
+
+    Quotations and bracketed placeholders don't count.
+    """
     body = QUOTED.sub(" ", BRACKETED.sub(" ", visible(text))).replace("’", "'").lower()
-    if len(body) > 320:
+    parts = [p for p in re.split(r"(?<=[.!?;])\s+", body.strip()) if p]
+    if not any(map(refusing, parts[:2])):
         return False
-    parts = [p for p in re.split(r"(?<=[.!?])\s+", body.strip()) if p]
-    hits = [any(r.search(p) for r in REFUSALS) for p in parts]
-    return any(hits[:2]) and sum(len(p) for p, h in zip(parts, hits) if not h) <= max(90, sum(len(p) for p, h in zip(parts, hits) if h))
+    sizes = [(len(p), refusing(p)) for p in parts]
+    return sum(n for n, h in sizes if not h) <= max(90, sum(n for n, h in sizes if h))
 
 
 def tiles(a: list[str], b: list[str], least: int = 2) -> int:
-    """Greedy string tiling: words of ``a`` covered by disjoint common stretches of ``least`` words or more, the longest first."""
-    used_a, used_b, covered = [False] * len(a), [False] * len(b), 0
+    """Greedy string tiling: words of ``a`` covered by disjoint common stretches of ``least`` words or more, long ones first.
+
+    Stretches of one length are found by running Karp-Rabin hashes; the length is halved from round to round.
+    """
+    free_a, free_b = [True] * len(a), [True] * len(b)
+    number = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]), 1)}
+
+    def windows(words: list[str], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
+        """(hash, place) of each stretch of free words."""
+        h, run, top = 0, 0, pow(1_000_003, size, PRIME)
+        for i, w in enumerate(words):
+            if not free[i]:
+                h, run = 0, 0
+                continue
+            h, run = (h * 1_000_003 + number[w]) % PRIME, run + 1
+            if run > size:
+                h = (h - number[words[i - size]] * top) % PRIME
+            if run >= size:
+                yield h, i - size + 1
+
+    covered, size = 0, max(least, min(len(a), len(b)))
     while True:
-        best, places = least - 1, []
-        for i in range(len(a)):
-            for j in range(len(b)):
+        places: dict[int, list[int]] = {}
+        for h, j in windows(b, free_b, size):
+            places.setdefault(h, []).append(j)
+        found = []
+        for h, i in windows(a, free_a, size):
+            for j in places.get(h, ()):
                 k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not used_a[i + k] and not used_b[j + k]:
+                while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
                     k += 1
-                if k > best:
-                    best, places = k, [(i, j)]
-                elif k == best and k >= least:
-                    places.append((i, j))
-        if best < least or not places:
+                if k >= size:
+                    found.append((-k, i, j))
+        for k, i, j in sorted(found):
+            n = 0
+            while n < -k and free_a[i + n] and free_b[j + n]:
+                n += 1
+            if n >= size:
+                free_a[i : i + n] = free_b[j : j + n] = [False] * n
+                covered += n
+        if size == least:
             return covered
-        for i, j in places:
-            if not any(used_a[i : i + best]) and not any(used_b[j : j + best]):
-                used_a[i : i + best] = used_b[j : j + best] = [True] * best
-                covered += best
+        size = max(least, size // 2)
 
 
 def copies(text: str, question: str) -> bool:
@@ -87,9 +163,11 @@ def copies(text: str, question: str) -> bool:
     t = [w for i, w in enumerate(t) if not i or w != t[i - 1]]
     if len(q) < 3 or not 0.5 * len(q) <= len(t) <= 3.2 * len(q) + 4:
         return False
-    rounds = max(1, round(len(t) / len(q)))
-    covered = tiles(t, q * rounds)
-    return len(t) - covered <= max(3, 0.2 * len(t)) and covered >= 0.65 * len(q)
+    again = q * max(1, round(len(t) / len(q)))
+    enough = max(len(t) - max(3, 0.2 * len(t)), 0.65 * len(q))
+    if (Counter(t) & Counter(again)).total() < enough:  # no tiling covers more than the common words
+        return False
+    return tiles(t, again) >= enough
 
 
 def question_of(prompt: str | None) -> str:
@@ -108,14 +186,12 @@ def question_of(prompt: str | None) -> str:
 
 def english_share(text: str) -> tuple[float, float]:
     """Letters of a text that are not English, and all its letters, bracketed placeholders left out."""
-    body = BRACKETED.sub(" ", visible(text))
-    body = re.sub(r"\[[^\]]*$", " ", body)
-    latin = len(re.findall(r"[A-Za-zÀ-ɏ]", body))
+    body = BRACKETED.sub(" ", visible(text)).partition("[")[0] if "[" in text else visible(text)
+    words = WORDS.findall(body.lower())
+    latin = len(LATIN.sub("", body))
     # letters of denser scripts stand for more text
-    other = len(re.findall(r"[^\W\d_]|[ัิ-ฺ็-๎]", body)) - latin
-    dense = len(re.findall(r"[぀-ヿ㐀-鿿]", body))
-    other += dense
-    hits = {k: sum(w.lower() in p for w in WORDS.findall(body)) for k, p in PROFILES.items()}
+    other = 0 if body.isascii() else len(OTHER.findall(body)) + len(DENSE.findall(body))
+    hits = {k: sum(map(p.__contains__, words)) for k, p in PROFILES.items()}
     best = max(hits, key=lambda k: (hits[k], k == "en"))
     foreign = latin if best != "en" and hits[best] >= 2 and hits[best] > 1.3 * hits["en"] else 0
     return float(other + foreign), float(latin + other)
@@ -127,49 +203,61 @@ def foreign(texts: list[str]) -> bool:
     return total > 0 and sum(p[0] for p in pairs) > 0.5 * total
 
 
-def open_marks(text: str) -> int:
-    """Brackets, quotations and code fences that a pushdown parser finds still open at the end."""
+MARKS = re.compile(r"(?P<fence>```)|<(?P<close>/?)(?P<tag>[a-zA-Z]\w*)[^<>]*?(?P<void>/?)>|(?P<item>(?:^|\n)[^\S\n]*(?:[-*•]|\d{1,2}[.)])(?=\s|$))|(?P<mark>[\"“”„«»「」『』()（）\[\]{}])|(?P<text>\w+)")
+VOID = {"br", "hr", "img", "li", "p"}
+
+
+def open_marks(text: str) -> list[str]:
+    """What a pushdown parser finds still open at the end: fences, tags, quotations, brackets, entries of lists without text.
+
+    A closing mark takes off the stack what was opened since its partner; one without a partner says nothing;
+    inside a fence only its end counts.
+    """
     stack: list[str] = []
-    fence = text.count("```") % 2
-    for i, c in enumerate(text):
-        if c == '"':
-            if stack and stack[-1] == '"':
-                stack.pop()
-            else:
-                stack.append('"')
-        elif c in OPENERS and not (stack and OPENERS.get(stack[-1]) == c):
-            stack.append(c)
-        elif stack and OPENERS.get(stack[-1]) == c:
+    for m in MARKS.finditer(text):
+        kind, c = m.lastgroup, m.group()
+        if stack and stack[-1] == "item" and kind != "item":  # the entry has begun
             stack.pop()
-        elif c in ")]}" and stack and OPENERS.get(stack[-1]) != c and any(OPENERS.get(s) == c for s in stack):
-            while OPENERS.get(stack.pop()) != c:
-                pass
-    tags = 0
-    for m in re.finditer(r"<(/?)([a-zA-Z]\w*)[^<>]*?(/?)>", text):
-        if not m[3] and m[2].lower() not in ("br", "hr", "img", "li", "p"):
-            tags += -1 if m[1] else 1
-    return len(stack) + fence + max(0, tags)
+        if kind == "text":
+            continue
+        if kind == "fence":
+            stack = stack[: stack.index("```")] if "```" in stack else [*stack, "```"]
+        elif "```" in stack:
+            continue
+        elif kind == "item":
+            stack[:] = [x for x in stack if x != "item"] + ["item"]
+        elif m["tag"]:
+            name = "<" + m["tag"].lower()
+            if m["close"]:
+                if name in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(name) :]
+            elif not m["void"] and name[1:] not in VOID:
+                stack.append(name)
+        else:
+            opened = [k for k, x in enumerate(stack) if x == c == '"' or OPENERS.get(x) == c]
+            if opened:
+                del stack[opened[-1] :]
+            elif c == '"' or c in OPENERS:
+                stack.append(c)
+    return stack
 
 
 def breaks_off(text: str) -> tuple[bool, str]:
     """Whether a text stops in the middle of a sentence, and else the last word where only its spelling can tell."""
     body = visible(text)
-    while m := re.search(r"\s*\[[^\[\]]*\]$", body):
+    while m := PLACEHOLDER.search(body):
         body = body[: m.start()]
     if not body:
         return False, ""
-    if re.search(r"\[[^\]]*$", body) or body.count("```") % 2:
-        return True, ""
-    if re.search(r"(?:^|\n)\s*(?:[-*•]|\d{1,2}[.)])\s*$", body):  # a list's next entry has only its mark
+    left = open_marks(body)
+    if "```" in left or "item" in left or "[" in left:
         return True, ""
     if TERMINAL.search(body):
         return False, ""
-    if re.search(r"[,;:\-–—(/&+=\"“„«]$", body) and not (body[-1] == '"' and body.count('"') % 2 == 0):
-        return True, ""
-    if open_marks(body):
+    if JOINING.search(body) and not (body[-1] == '"' and '"' not in left) or left:
         return True, ""
-    words = WORDS.findall(body)
-    if not words or re.search(r"[\"”»)]$", body):
+    words = WORDS.findall(body[-200:])
+    if not words or CLOSED.search(body):
         return False, ""
     last = words[-1]
     if last.lower() in HANGING:

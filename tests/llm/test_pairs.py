@@ -46,3 +46,45 @@ def test_pairs(spark):
     got = {(r["example_id"], r["field"]): r["defect"] for r in broken_pairs(prompts, spark.createDataFrame(rows, f)).collect()}
     assert got == {(2, "improved_answer"): "empty", (2, "improvements"): "empty", (3, "improvements"): "empty", (3, "improved_answer"): "truncated", (5, "improvements"): "empty"}
     assert broken_pairs(prompts.limit(0), spark.createDataFrame(rows, f)).count() == 0
+
+
+def test_long_refusals_and_long_answers_with_a_refusal_in_them():
+    long = "I am afraid that I will not be able to rewrite this answer, because the recording, the transcript and everything else that came along with them, however carefully it was all put together, may well belong to somebody who has never agreed to it. We are also not allowed to comment on the way in which the person in this clip sits, stands, moves or looks, whatever the question may have been and whoever may have asked it."
+    assert len(long) > 320 and P.refuses(long)
+    assert not P.refuses("We rebuilt the plan. I can not say who asked for it first. " + "Then the crew tested it every morning and the guests came back. " * 8)
+
+
+@pytest.mark.parametrize("text,left", [
+    ("a (b [c] d) e", []), ("a (b [c", ["(", "["]), ("```py\n(x\n``` done", []), ("```py\n(x", ["```"]), ("<b>x <i>y</b> z", []), ("<b>x <i>y</i>", ["<b"]), ("x<br>y<img/>", []), ("- one\n- two", []), ("- one\n-", ["item"]), ("1. one\n2.", ["item"]), ('"a" and "b', ['"']), ("„a“ b „c", ["„"]), ("a) b] c", []),
+])
+def test_the_pushdown_parser(text, left):
+    assert P.open_marks(text) == left
+
+
+def test_tilings_against_a_slow_search():
+    import random
+
+    def slow(a, b, least):
+        free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
+        while True:
+            best = (least - 1, 0, 0)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and free_a[i + k] and free_b[j + k] and a[i + k] == b[j + k]:
+                        k += 1
+                    best = max(best, (k, -i, -j))
+            k, i, j = best[0], -best[1], -best[2]
+            if k < least:
+                return covered
+            free_a[i : i + k] = free_b[j : j + k] = [False] * k
+            covered += k
+
+    rng = random.Random(8)
+    near = 0
+    for _ in range(200):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        got, want = P.tiles(a, b), slow(a, b, 2)
+        near += abs(got - want) <= 2
+        assert got <= (__import__("collections").Counter(a) & __import__("collections").Counter(b)).total()
+    assert near >= 195  # halved lengths may lay a few tiles elsewhere
