@@ -4,26 +4,31 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleanstone.session import cut
 
 
-def digamma(x: Column) -> Column:
-    """The digamma function for x > 0: six steps up, then the asymptotic series."""
-    up = x + 6
-    series = F.log(up) - 0.5 / up - 1 / (12 * up**2) + 1 / (120 * up**4) - 1 / (252 * up**6)
-    return series - sum(1 / (x + i) for i in range(6))
+def digamma(x: str) -> str:
+    """SQL of the digamma function for x > 0: six steps up, then the asymptotic series."""
+    up = f"({x} + 6)"
+    series = f"ln({up}) - 0.5D / {up} - 1D / (12 * {up} * {up}) + 1D / (120 * power({up}, 4)) - 1D / (252 * power({up}, 6))"
+    return f"({series} - " + " - ".join(f"1D / ({x} + {i})" for i in range(6)) + ")"
 
 
 @dataclass
 class Consensus:
     posterior: DataFrame  # item, q: probability of each class
     confusion: DataFrame  # rater, truth, row: expected counts of the given labels, prior included
+    rounds: int  # that were taken
+    converged: bool  # whether the last round still moved less than the tolerance
 
 
-def fit(votes: DataFrame, classes: int, known: DataFrame | None = None, strength: float = 4.0, rounds: int = 16, tolerance: float = 5e-3) -> Consensus:
+SMALL_MODEL = 8_000_000  # bytes of a model that is sent to every task; a larger one is joined
+
+
+def fit(votes: DataFrame, classes: int, known: DataFrame | None = None, strength: float = 4.0, rounds: int = 40, tolerance: float = 1e-4, small: int = SMALL_MODEL) -> Consensus:
     """Variational posteriors of item classes and rater confusion rows.
 
     ``votes`` (item, rater, label): label is a class number from 0; null items, raters or labels
@@ -34,9 +39,12 @@ def fit(votes: DataFrame, classes: int, known: DataFrame | None = None, strength
     The class shares have a flat Dirichlet prior. Ties in the posterior are resolved by the
     smallest class number. An empty table gives empty results.
 
-    Every round is two group-bys: labels' expected log rates are summed by item, and the item
-    posteriors are summed by rater and label. Only the model (a row for each rater and label, an
-    array over the classes) is cut; posteriors are derived from it again.
+    Every round is two group-bys: labels' expected log rates are summed by item, where the votes
+    lie by item already, and the item posteriors are summed by rater and label. Only the model (a
+    row a rater, with the counts by label and true class) is cut; posteriors are derived from it
+    again. The driver gets the classes' totals of each round. It ends when the counts' squares and
+    totals move by less than ``tolerance``, or after ``rounds``; the result tells which. A model
+    of up to ``small`` bytes is broadcast, a larger one joined.
     """
     ks = range(classes)
     votes = votes.select("item", "rater", F.col("label").cast("int").alias("label")).dropna()
@@ -47,45 +55,48 @@ def fit(votes: DataFrame, classes: int, known: DataFrame | None = None, strength
         votes = votes.select("item", "rater", "label", F.lit(0.6).alias("a"), F.lit(strength).alias("w"))
     votes = cut(votes.repartition("item"))
 
-    def counts(posterior: DataFrame) -> DataFrame:
-        """rater, label, truth, n: expected number of votes by true class."""
-        n = votes.join(posterior, "item").groupBy("rater", "label", "a", "w").agg(*[F.sum(F.get("q", F.lit(k))).alias(f"n{k}") for k in ks])
-        return n.select("rater", "label", "a", "w", F.posexplode(F.array(*[f"n{k}" for k in ks])).alias("truth", "n"))
-
-    def model(n: DataFrame) -> DataFrame:
-        """rater, label, n, e, s: by true class the votes, their expected log rate and the class's expected log share."""
-        # windows over the model's own rows: a rater's totals by class, and the classes' totals
-        x = n.withColumn("t", F.sum("n").over(Window.partitionBy("rater", "truth"))).withColumn("m", F.sum("n").over(Window.partitionBy("truth")))
-        alpha = F.col("w") * F.when(F.col("label") == F.col("truth"), F.col("a")).otherwise((1 - F.col("a")) / max(1, classes - 1))
-        # class shares count votes, so that items with more votes weigh more; their prior is flat
-        x = x.select("rater", "label", "truth", "n", (alpha + F.col("n")).alias("up"), (F.col("w") + F.col("t")).alias("down"), (F.col("m") + 1).alias("m"), "a", "w")
-        # the whole of all votes shifts every class's share alike and drops out of the posterior
-        x = x.select("rater", "label", "a", "w", "truth", "n", (digamma(F.col("up")) - digamma(F.col("down"))).alias("e"), digamma(F.col("m")).alias("s"))
-        rows = F.array_sort(F.collect_list(F.struct("truth", "n", "e", "s")))
-        return x.groupBy("rater", "label", "a", "w").agg(rows.alias("x")).select("rater", "label", "a", "w", *[F.col(f"x.{c}").alias(c) for c in "nes"])
-
-    def posterior(m: DataFrame) -> DataFrame:
-        sums = votes.join(m.select("rater", "label", "e", "s"), ["rater", "label"]).groupBy("item").agg(*[(F.sum(F.get("e", F.lit(k))) + F.first(F.get("s", F.lit(k)))).alias(f"l{k}") for k in ks])
-        q = sums.select("item", F.array(*[f"l{k}" for k in ks]).alias("l"))
-        q = q.select("item", F.transform("l", lambda x: F.exp(x - F.array_max("l"))).alias("w"))
-        return q.select("item", F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda a, b: a + b)).alias("q"))
-
-    shares = votes.groupBy("item").agg(*[F.avg((F.col("label") == k).cast("double")).alias(f"q{k}") for k in ks])
-    now = cut(model(counts(shares.select("item", F.array(*[f"q{k}" for k in ks]).alias("q")))))
-    for done in range(1, rounds + 1):
-        old, now = now, cut(model(counts(posterior(now))))
-        if done % 4 == 0:
-            moved = old.select("rater", "label", F.col("n").alias("o")).join(now, ["rater", "label"]).select(F.explode(F.arrays_zip("o", "n")).alias("z"))
-            change = moved.agg(F.max(F.abs(F.col("z.n") - F.col("z.o")) / (F.col("z.n") + 1))).first()[0]
-            if change is None or change < tolerance:
-                break
-    given = now.groupBy("rater", "a", "w").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("n"))
-    rows = given.select("rater", "a", "w", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))).alias("truth"), "n")
-    row = F.transform(
-        F.sequence(F.lit(0), F.lit(classes - 1)),
-        lambda j: F.coalesce(F.get(F.try_element_at("n", j), F.col("truth")), F.lit(0.0)) + F.col("w") * F.when(j == F.col("truth"), F.col("a")).otherwise((1 - F.col("a")) / max(1, classes - 1)),
-    )
-    return Consensus(posterior(now), rows.select("rater", "truth", row.alias("row")))
+    # expressions are written as SQL: a round has hundreds of them, each of which would be a call from Python otherwise
+    prior = f"(w * CASE WHEN {{}} = {{}} THEN a ELSE (1 - a) / {max(1, classes - 1)} END)"
+
+    def model(posterior: DataFrame) -> DataFrame:
+        """rater, a, w, n: for each label the expected number of votes by true class; t: their sums."""
+        n = votes.join(posterior, "item").groupBy("rater", "label", "a", "w").agg(*[F.expr(f"sum(get(q, {k})) AS n{k}") for k in ks])
+        x = n.groupBy("rater", "a", "w").agg(F.expr(f"collect_list(struct(label, array({', '.join(f'n{k}' for k in ks)}) AS n)) AS x"))
+        t = ", ".join(f"aggregate(x, 0D, (s, y) -> s + get(y.n, {k}))" for k in ks)
+        return x.selectExpr("rater", "a", "w", "map_from_arrays(x.label, x.n) AS n", f"array({t}) AS t")
+
+    def kept(m: DataFrame) -> tuple[DataFrame, int, list[float]]:
+        """The model, cut; its raters; the classes' totals and the sum of the counts' squares, observed on the way."""
+        seen = Observation()
+        square = "sum(aggregate(flatten(map_values(n)), 0D, (s, x) -> s + x * x)) AS square"
+        m = cut(m.observe(seen, *map(F.expr, ["count(*) AS raters", *(f"sum(get(t, {k})) AS t{k}" for k in ks), square])))
+        got = seen.get
+        return m, got["raters"], [got[x] or 0.0 for x in [*(f"t{k}" for k in ks), "square"]]
+
+    def posterior(m: DataFrame, raters: int, totals: list[float]) -> DataFrame:
+        e = f"transform_values(n, (label, row) -> transform(row, (n, k) -> {digamma('(' + prior.format('label', 'k') + ' + n)')} - get(d, k)))"
+        # class shares count votes, so that items with more votes weigh more; their prior is flat. The totals
+        # stand in the rows, so that the code made for a round serves the next one too
+        share = f"transform(CASE WHEN w > 0 THEN array({', '.join(f'{x!r}D' for x in totals)}) ELSE t END, t -> {digamma('(t + 1)')})"
+        rates = m.selectExpr("*", f"transform(t, t -> {digamma('(w + t)')}) AS d").selectExpr("rater", f"{e} AS e", f"{share} AS s")
+        if raters * classes * classes * 8 <= small:
+            rates = F.broadcast(rates)
+        x = votes.join(rates, "rater").selectExpr("item", "try_element_at(e, label) AS e", "s")
+        sums = x.groupBy("item").agg(*[F.expr(f"sum(get(e, {k})) + first(get(s, {k})) AS l{k}") for k in ks])
+        q = sums.selectExpr("item", f"array({', '.join(f'l{k}' for k in ks)}) AS l").selectExpr("item", "transform(l, x -> exp(x - array_max(l))) AS w")
+        return q.selectExpr("item", "transform(w, x -> x / aggregate(w, 0D, (a, b) -> a + b)) AS q")
+
+    shares = votes.groupBy("item").agg(F.expr(f"array({', '.join(f'avg(CAST(label = {k} AS DOUBLE))' for k in ks)}) AS q"))
+    now, raters, sums = kept(model(shares))
+    done, converged = 0, False
+    while done < rounds and not converged:
+        old = sums
+        now, _, sums = kept(model(posterior(now, raters, sums[:-1])))
+        done += 1
+        converged = max((abs(x - y) / (y + 1) for x, y in zip(sums, old)), default=0.0) < tolerance
+    rows = now.selectExpr("rater", "a", "w", f"explode(sequence(0, {classes - 1})) AS truth", "n")
+    row = F.expr(f"transform(sequence(0, {classes - 1}), j -> coalesce(get(try_element_at(n, j), truth), 0D) + {prior.format('j', 'truth')})")
+    return Consensus(posterior(now, raters, sums[:-1]), rows.select("rater", "truth", row.alias("row")), done, converged)
 
 
 def reliability(c: Consensus, z: float = 1.96) -> DataFrame:
@@ -162,3 +173,10 @@ def spelled(c: Column, forms: list[tuple[str, int]], share: float = 0.25, most:
     best = F.array_min(F.transform(good, lambda s: s["d"]))
     hits = F.array_distinct(F.transform(F.filter(good, lambda s: s["d"] == best), lambda s: s["k"]))
     return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+
+
+def spelled_once(df: DataFrame, column: str, forms: list[tuple[str, int]], out: str) -> DataFrame:
+    """``df`` with ``out``, the class that its text column evidently spells; each different spelling is looked up once."""
+    df = df.withColumn("plain " + column, plain_label(F.col(column)))
+    known = df.select(F.col("plain " + column).alias("p")).where("p is not null").distinct().withColumn(out, spelled(F.col("p"), forms)).where(F.col(out).isNotNull())
+    return df.join(known, df["plain " + column] == known["p"], "left").drop("p", "plain " + column)

@@ -26,7 +26,8 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[tuple[
 def staged_votes(spark: SparkSession, sf_dir: str, forms: list[tuple[str, int]]) -> DataFrame:
     """item, rater, label: each rater's latest usable label of each staged item."""
     r = table(spark, sf_dir, "test_rq2_labels").select("label_id", "item_id", "rater_id", "type", "label", "labelled_at")
-    r = r.withColumn("k", F.coalesce(C.spelled(C.plain_label(F.col("label")), forms), C.spelled(C.plain_label(F.col("type")), forms))).where("k is not null and item_id is not null")
+    r = C.spelled_once(C.spelled_once(r.where("item_id is not null"), "label", forms, "by_label"), "type", forms, "by_type")
+    r = r.withColumn("k", F.coalesce("by_label", "by_type")).where("k is not null")
     last = Window.partitionBy("item_id", "rater_id").orderBy(F.col("labelled_at").desc_nulls_last(), F.col("label_id").desc())
     return r.withColumn("n", F.row_number().over(last)).where("n = 1").select(F.col("item_id").cast("string").alias("item"), F.coalesce("rater_id", F.lit("unnamed")).alias("rater"), F.col("k").alias("label"))
 
@@ -47,10 +48,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each rater's posterior accuracy in either task, with its interval."""
+    """Each rater's posterior accuracy in either task, with its interval; and how the task's fit ended."""
     audit, staged, _ = _fits(spark, sf_dir)
-    out = C.reliability(audit).withColumn("task", F.lit("audit")).unionByName(C.reliability(staged).withColumn("task", F.lit("rq2")))
-    return out.select("task", "rater", *[F.round(c, 4).alias(c) for c in ("accuracy", "low", "high", "votes")])
+    out = [C.reliability(c).withColumns({"task": F.lit(task), "rounds": F.lit(c.rounds), "converged": F.lit(c.converged)}) for task, c in (("audit", audit), ("rq2", staged))]
+    return out[0].unionByName(out[1]).select("task", "rater", *[F.round(c, 4).alias(c) for c in ("accuracy", "low", "high", "votes")], "rounds", "converged")
 
 
 def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:

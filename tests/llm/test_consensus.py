@@ -42,8 +42,27 @@ def test_alpha(spark):
 
 def test_digamma_and_spelling(spark):
     x = spark.createDataFrame([(0.1, -10.423754940411076), (1.0, -0.5772156649015329), (12.5, 2.4851956512749)], "x double, y double")
-    assert all(abs(r["d"] - r["y"]) < 1e-6 for r in x.select(C.digamma(F.col("x")).alias("d"), "y").collect())
+    assert all(abs(r["d"] - r["y"]) < 1e-6 for r in x.select(F.expr(C.digamma("x")).alias("d"), "y").collect())
     forms = [("headdown", 0), ("ก้มศีรษะ", 0), ("none", 1), ("noproblem", 1), ("headleft", 2)]
     words = {"​Head-Down (whole clip)": 0, "head dwn": 0, "ก้มศีรษะ; second half": 0, "no problm - partly": 1, "NONE.": 1, "?": None, "head": None, None: None}
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert {r["w"]: r["k"] for r in df.select("w", C.spelled(C.plain_label(F.col("w")), forms).alias("k")).collect()} == words
+
+
+def test_a_joined_model_gives_what_a_broadcast_one_gives(spark):
+    rng = random.Random(3)
+    votes = [(str(i), r, i % 3 if rng.random() < 0.8 else rng.randrange(3)) for i in range(60) for r in "abc"]
+    df = spark.createDataFrame(votes, "item string, rater string, label int")
+    fits = [C.fit(df, 3, small=n) for n in (C.SMALL_MODEL, 0)]
+    assert fits[0].converged and fits[0].rounds == fits[1].rounds
+    got = [{r["item"]: r["label"] for r in C.labels(f).collect()} for f in fits]
+    assert got[0] == got[1] and len(got[0]) == 60
+    assert not C.fit(df, 3, rounds=1, tolerance=0.0).converged
+
+
+def test_every_spelling_is_looked_up_once(spark):
+    forms = [("eyecontact", 0), ("nohands", 1)]
+    rows = [("Eye contact",), ("EYE-CONTACT (sure)",), ("no hand",), ("other",), (None,), ("eye contakt",)]
+    got = [r["k"] for r in C.spelled_once(spark.createDataFrame(rows, "label string"), "label", forms, "k").orderBy("label").collect()]
+    want = [r["k"] for r in spark.createDataFrame(rows, "label string").orderBy("label").select(C.spelled(C.plain_label(F.col("label")), forms).alias("k")).collect()]
+    assert got == want and got.count(None) == 2
