@@ -25,6 +25,13 @@ def spelled_state(c: Column, states: tuple[str, ...], most: int = 2) -> Column:
     return out
 
 
+def with_states(df: DataFrame, label: str, states: tuple[str, ...], out: str) -> DataFrame:
+    """``df`` with ``out``, the state that its label evidently spells or null; each different label is looked up once."""
+    known = df.select(F.col(label).alias("spelling")).where("spelling is not null").distinct().withColumn("state spelled", spelled_state(F.col("spelling"), states))
+    joined = df.join(known, df[label] == known["spelling"], "left").drop("spelling")
+    return joined.withColumn(out, F.col("state spelled")).drop("state spelled")
+
+
 def collapse_runs(df: DataFrame, key: str, state: str, start: str, end: str, event_id: str, tolerance: int) -> DataFrame:
     """Runs of neighbouring rows of one state, each collapsed into one row.
 
@@ -58,14 +65,16 @@ def collapse_runs(df: DataFrame, key: str, state: str, start: str, end: str, eve
         # after a break every later end lies behind all earlier ones, so the segment's largest end is the run's
         x = x.withColumn("reach", F.max("e").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
         x = x.withColumn("opens", F.col("reach").isNull() | (F.col("b") > F.col("reach") + tolerance))
-        return x.withColumn("run", F.sum(F.col("opens").cast("int")).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+        x = x.withColumn("run", F.sum(F.col("opens").cast("int")).over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+        # the run's last row: the next one opens a run or there is none
+        return x.withColumn("closes", F.coalesce(F.lead("opens").over(inner), F.lit(True)))
 
     local = numbered(rows.withColumn("carried", F.lit(1)))
     # one row for each partition: its first and last key, and the last key's last segment
     ends = local.groupBy("p").agg(F.min("k").alias("first_key"), F.max("k").alias("last_key"), F.max(F.struct("k", "seg")).alias("last"))
     tail = local.groupBy("p", "k", "seg").agg(
-        F.first("s").alias("s"), F.max(F.when(F.col("opens"), F.struct("b", "e", "i"))).alias("open"), F.max("e").alias("top"), F.max(F.struct("b", "e", "i")).alias("latest"))
-    ends = ends.join(tail.select("p", F.struct("k", "seg").alias("last"), "s", "open", "top", "latest"), ["p", "last"])
+        F.first("s").alias("s"), F.max(F.when(F.col("opens"), F.struct("b", "e", "i"))).alias("open"), F.max("e").alias("top"))
+    ends = ends.join(tail.select("p", F.struct("k", "seg").alias("last"), "s", "open", "top"), ["p", "last"])
     carry, now = [], None
     for r in sorted(ends.collect(), key=lambda r: r["p"]):  # one row for each partition
         if now and now["k"] == r["first_key"] and now["s"] is not None:
@@ -80,9 +89,13 @@ def collapse_runs(df: DataFrame, key: str, state: str, start: str, end: str, eve
     carried = rows.sparkSession.createDataFrame(carry, f"p int, k {kinds['k']}, s string, top bigint, ob bigint, oe bigint, oi {kinds['i']}")
     front = carried.select("k", "s", F.col("ob").alias("b"), F.col("top").alias("e"), F.col("oi").alias("i"), "p", F.lit(0).alias("carried"), F.struct(F.col("ob").alias("b"), F.col("oe").alias("e"), F.col("oi").alias("i")).alias("from"))
     both = rows.withColumn("carried", F.lit(1)).withColumn("from", F.lit(None).cast(front.schema["from"].dataType)).unionByName(front)
-    pieces = numbered(both).where("s is not null").groupBy("p", "k", "seg", "run").agg(
-        F.first("s").alias("s"), F.max("from").alias("from"), F.sum("carried").alias("n"), F.min(F.when(F.col("carried") == 1, F.struct("b", "e", "i"))).alias("lo"),
-        F.max(F.when(F.col("carried") == 1, F.struct("b", "e", "i"))).alias("hi"), F.max("e").alias("top"))
+    # single rows of a run are picked by flags, not compared as structs, so that it is hashed and not sorted again
+    own = F.col("carried") == 1
+    one = lambda flag, x: F.max(F.when(flag, F.col(x)))
+    pieces = numbered(both).where("s is not null").groupBy("p", "k", "seg", "run", "s").agg(
+        *[one(~own, f"from.{x}").alias(f"f{x}") for x in "bei"], *[one(own & F.col("opens"), x).alias(f"o{x}") for x in "bei"], *[one(own & F.col("closes"), x).alias(f"h{x}") for x in "bei"],
+        F.sum("carried").alias("n"), F.max("e").alias("top"))
     # the pieces of a run over several partitions share the row that opened it
-    whole = pieces.where("n > 0").groupBy("k", "s", F.coalesce("from", "lo").alias("opened")).agg(F.max("hi").alias("hi"), F.sum("n").alias("n"), F.max("top").alias("top"))
-    return whole.select(F.col("k").alias(key), F.col("s").alias(state), F.col("opened.i").alias("first_id"), F.col("hi.i").alias("last_id"), "n", F.col("opened.b").alias("start"), F.col("top").alias("end"))
+    pieces = pieces.where("n > 0").select("k", "s", *[F.when(F.col("fb").isNotNull(), F.col(f"f{x}")).otherwise(F.col(f"o{x}")).alias(f"o{x}") for x in "bei"], F.struct("hb", "he", "hi").alias("hi"), "n", "top")
+    whole = pieces.groupBy("k", "s", "ob", "oe", "oi").agg(F.max("hi").alias("hi"), F.sum("n").alias("n"), F.max("top").alias("top"))
+    return whole.select(F.col("k").alias(key), F.col("s").alias(state), F.col("oi").alias("first_id"), F.col("hi.hi").alias("last_id"), "n", F.col("ob").alias("start"), F.col("top").alias("end"))

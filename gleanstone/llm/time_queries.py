@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanstone.functions.text import millis, stop_time
 from gleanstone.llm.nearest import nearest_in_time
-from gleanstone.llm.runs import collapse_runs, spelled_state
+from gleanstone.llm.runs import collapse_runs, with_states
 from gleanstone.session import table
 
 GAZE = ("eye_contact", "looking_away", "no_face", "low_lids")
@@ -18,7 +18,7 @@ HALF_MICRO = 2_000_000  # moments are exact in half microseconds
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of two or more gaze rows of one state."""
     g = table(spark, sf_dir, "gaze_events").where("event is not null and start is not null")
-    g = g.select("key", "event_id", spelled_state(F.col("event"), GAZE).alias("event"), millis(F.col("start")).alias("b"), millis(stop_time(F.col("start"), F.col("end"), F.col("duration"))).alias("e"))
+    g = with_states(g, "event", GAZE, "event").select("key", "event_id", "event", millis(F.col("start")).alias("b"), millis(stop_time(F.col("start"), F.col("end"), F.col("duration"))).alias("e"))
     r = collapse_runs(g, "key", "event", "b", "e", "event_id", 500).where("n >= 2")
     return r.select("key", "event", F.col("first_id").alias("first_event_id"), F.col("last_id").alias("last_event_id"), F.col("n").cast("int").alias("n_events"), (F.col("end") - F.col("start")).alias("duration_ms"))
 

@@ -62,3 +62,11 @@ def test_spelling(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([("k", "x", 0, 1, 1, 9, "z")], SCHEMA + ", p int, seg string")
     assert [tuple(r) for r in collapse_runs(df, "k", "s", "b", "e", "i", 5).collect()] == [("k", "x", 1, 1, 1, 0, 1)]
+
+
+def test_every_label_is_looked_up_once(spark):
+    from gleanstone.llm.runs import with_states
+
+    rows = [(1, "EYE CONTACT ", "x"), (2, "n0_face", "x"), (3, None, "x"), (4, "banana", "x"), (5, "n0_face", None)]
+    got = with_states(spark.createDataFrame(rows, "i int, event string, spelling string").drop("spelling"), "event", ("eye_contact", "no_face"), "event").orderBy("i").collect()
+    assert [(r["i"], r["event"]) for r in got] == [(1, "eye_contact"), (2, "no_face"), (3, None), (4, None), (5, "no_face")]
