@@ -36,8 +36,8 @@ def ver01(spark: SparkSession, d: str) -> DataFrame:
     t = i.select("feedback_id", F.lit("improvements.issue_en").alias("field"), "i.dimension", F.col("i.issue_en").alias("text"))
     t = t.unionByName(i.select("feedback_id", F.lit("improvements.action_steps_en").alias("field"), "i.dimension", F.explode("i.action_steps_en").alias("text")))
     t = t.unionByName(f.select("feedback_id", F.lit("overall_summary_en").alias("field"), F.lit(None).cast("string").alias("dimension"), F.col("overall_summary_en").alias("text")))
-    s = t.where("text IS NOT NULL").select("feedback_id", "field", "dimension", F.explode(F.split("text", r"(?<=[.!?])\s+(?=[A-Z\"'(])")).alias("sentence"))
-    s = s.select("*", F.explode(C.claimed_times("sentence")).alias("t")).withColumn("topic", C.topic_of(F.col("sentence"), F.col("dimension")))
+    s = t.where("text IS NOT NULL").select("feedback_id", "field", "dimension", F.explode(C.sentences_of(F.col("text"))).alias("sentence"))
+    s = s.select("*", F.explode(C.claimed_times(F.col("sentence"))).alias("t")).withColumn("topic", C.topic_at(F.col("sentence"), F.col("t.pos"), F.col("dimension")))
     return s.select("feedback_id", "field", "dimension", "sentence", F.col("t.text").alias("time_text"), "t.t0", "t.t1", "topic", F.array_join(C.expected_states(F.col("topic"), F.col("sentence")), " ").alias("expected"), F.get(C.quotes(F.col("sentence")), F.lit(0)).alias("quote"))
 
 
@@ -104,8 +104,8 @@ def ver06(spark: SparkSession, d: str) -> DataFrame:
 
 def timed_points(spark: SparkSession, d: str) -> DataFrame:
     """feedback_id, key, n, dimension, sentence and each time that a point's sentence claims."""
-    s = points(spark, d).where("issue IS NOT NULL").select("feedback_id", "key", "n", "dimension", F.explode(F.split("issue", r"(?<=[.!?])\s+(?=[A-Z\"'(])")).alias("sentence"))
-    return s.select("*", F.explode(C.claimed_times("sentence")).alias("t")).select("feedback_id", "key", "n", "dimension", "sentence", "t.t0", "t.t1", "t.pos")
+    s = points(spark, d).where("issue IS NOT NULL").select("feedback_id", "key", "n", "dimension", F.explode(C.sentences_of(F.col("issue"))).alias("sentence"))
+    return s.select("*", F.explode(C.claimed_times(F.col("sentence"))).alias("t")).select("feedback_id", "key", "n", "dimension", "sentence", "t.t0", "t.t1", "t.pos")
 
 
 @query("ver07")
@@ -119,7 +119,7 @@ def ver07(spark: SparkSession, d: str) -> DataFrame:
 @query("ver08")
 def ver08(spark: SparkSession, d: str) -> DataFrame:
     """Times whose cited items of the topic show none of the states that the wording expects."""
-    t = timed_points(spark, d).withColumn("topic", C.topic_of(F.col("sentence"), F.col("dimension"))).withColumn("expected", C.expected_states(F.col("topic"), F.col("sentence"))).where("size(expected) > 0")
+    t = timed_points(spark, d).withColumn("topic", C.topic_at(F.col("sentence"), F.col("pos"), F.col("dimension"))).withColumn("expected", C.expected_states(F.col("topic"), F.col("sentence"))).where("size(expected) > 0")
     c = cited(spark, d).where("start IS NOT NULL").select("feedback_id", "n", F.col("type").alias("topic"), "value", "start", "end")
     j = t.join(c, ["feedback_id", "n", "topic"]).where("start - 1 <= t1 AND end + 1 >= t0")
     return j.groupBy("feedback_id", "n", "t0", "t1").agg(F.max(F.array_contains("expected", F.col("value"))).alias("ok")).where("NOT ok").select("feedback_id", "n", "t0", "t1")
@@ -147,8 +147,8 @@ def ver10(spark: SparkSession, d: str) -> DataFrame:
 def ver12(spark: SparkSession, d: str) -> DataFrame:
     """Times in summaries that no log item of the same topic meets within a second."""
     f = table(spark, d, "feedback").dropDuplicates(["feedback_id"]).where("overall_summary_en IS NOT NULL")
-    s = f.select("feedback_id", "key", F.explode(F.split("overall_summary_en", r"(?<=[.!?])\s+(?=[A-Z\"'(])")).alias("sentence"))
-    t = s.select("*", F.explode(C.claimed_times("sentence")).alias("t")).select("feedback_id", "key", F.col("t.t0").alias("a_start"), F.col("t.t1").alias("a_end"), C.topic_of(F.col("sentence"), F.lit(None).cast("string")).alias("topic"))
+    s = f.select("feedback_id", "key", F.explode(C.sentences_of(F.col("overall_summary_en"))).alias("sentence"))
+    t = s.select("*", F.explode(C.claimed_times(F.col("sentence"))).alias("t")).select("feedback_id", "key", F.col("t.t0").alias("a_start"), F.col("t.t1").alias("a_end"), C.topic_at(F.col("sentence"), F.col("t.pos"), F.lit(None).cast("string")).alias("topic"))
     e = log_items(spark, d).select("key", F.col("type").alias("b_type"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     hit = overlap_join(t, e, ["key"], 1.0, 10.0).where("topic IS NULL OR topic = b_type").select("feedback_id", "a_start", "a_end").distinct()
     return t.select("feedback_id", "a_start", "a_end").distinct().join(hit, ["feedback_id", "a_start", "a_end"], "left_anti").withColumnsRenamed({"a_start": "t0", "a_end": "t1"})

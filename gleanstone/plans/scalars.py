@@ -58,37 +58,28 @@ def str03(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size("d").cast("bigint").alias("doubles"), F.size("s").cast("bigint").alias("singles"))
 
 
-@query("str04")
+@query("str04", f"SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS n, unnest(s) AS sentence FROM (SELECT doc_id, {C.sentences_sql('text')} AS s FROM documents WHERE text IS NOT NULL)")
 def str04(spark: SparkSession, d: str) -> DataFrame:
     """Simple sentences: split behind a stop before a capital, quotation or bracket."""
-    return docs(spark, d).select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+(?=[A-Z\"'(])")).alias("n", "sentence"))
+    return docs(spark, d).select("doc_id", F.posexplode(C.sentences_of(F.col("text"))).alias("n", "sentence"))
 
 
-@query("str05")
+@query("str05", f"WITH {CLAIMS}, x AS (SELECT claim_id, unnest({C.claimed_times_sql('sentence')}) AS t FROM c WHERE sentence IS NOT NULL) SELECT claim_id, t.t0 AS t0, t.t1 AS t1, t.pos AS pos, t.text AS text FROM x")
 def str05(spark: SparkSession, d: str) -> DataFrame:
     """Times that claims mention, with their positions."""
-    c = claims(spark, d).select("claim_id", F.explode(C.claimed_times("sentence")).alias("t"))
+    c = claims(spark, d).select("claim_id", F.explode(C.claimed_times(F.col("sentence"))).alias("t"))
     return c.select("claim_id", "t.t0", "t.t1", "t.pos", "t.text")
 
 
-def _topic_sql() -> str:
-    parts = ["WHEN regexp_matches(sentence, '(?i)touch\\w* (?:your|the|his|her|their) (?:face|chin|hair)|rubbed the chin') THEN 'hand'"]
-    parts += [f"WHEN regexp_matches(sentence, '(?i){w}') THEN '{t}'" for t, w in C.TOPICS.items()]
-    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.DIMENSION_TOPIC.items())
-    return f"CASE {' '.join(parts)} ELSE CASE dimension {names} END END"
-
-
-@query("str06", f"WITH {CLAIMS} SELECT claim_id, {_topic_sql()} AS topic FROM c")
+@query("str06", f"""WITH {CLAIMS}, x AS (SELECT claim_id, sentence, dimension, unnest(coalesce(nullif([t.pos for t in {C.claimed_times_sql('sentence')}], []), [0])) AS pos FROM c) SELECT claim_id, pos, {C.topic_at_sql('sentence', 'pos', 'dimension')} AS topic FROM x""")
 def str06(spark: SparkSession, d: str) -> DataFrame:
-    """Topic of a claim by its wording."""
-    return claims(spark, d).select("claim_id", C.topic_of(F.col("sentence"), F.col("dimension")).alias("topic"))
+    """Topic of a claim by the wording nearest to each of its times; from its beginning where it has none."""
+    at = F.transform(C.claimed_times(F.col("sentence")), lambda t: t["pos"])
+    c = claims(spark, d).select("claim_id", "sentence", "dimension", F.explode(F.when(F.size(at) > 0, at).otherwise(F.array(F.lit(0)))).alias("pos"))
+    return c.select("claim_id", "pos", C.topic_at(F.col("sentence"), F.col("pos"), F.col("dimension")).alias("topic"))
 
 
-@query("str07", f"""WITH {CLAIMS} SELECT claim_id, CASE topic WHEN 'gaze' THEN CASE WHEN regexp_matches(sentence, '(?i)away|window|off|notes') THEN 'looking_away' WHEN regexp_matches(sentence, '(?i)contact|at the camera|toward the camera') THEN 'eye_contact' ELSE '' END
-WHEN 'head' THEN CASE WHEN regexp_matches(sentence, '(?i)down|lower') THEN 'turned_down' WHEN regexp_matches(sentence, '(?i)\\bup\\b') THEN 'turned_up' WHEN regexp_matches(sentence, '(?i)left') THEN 'turned_left' WHEN regexp_matches(sentence, '(?i)right') THEN 'turned_right'
- WHEN regexp_matches(sentence, '(?i)mov|nod|turn') THEN 'turned_down turned_up turned_left turned_right' WHEN regexp_matches(sentence, '(?i)steady|still|straight') THEN 'centered' ELSE '' END
-WHEN 'hand' THEN CASE WHEN regexp_matches(sentence, '(?i)hidden|not visible|out of sight') THEN 'hands_hidden' WHEN regexp_matches(sentence, '(?i)mov|gestur|rubbed|folded') THEN 'gesturing' WHEN regexp_matches(sentence, '(?i)still') THEN 'hands_still' ELSE '' END
-WHEN 'face' THEN CASE WHEN regexp_matches(sentence, '(?i)not smil|no smile|without a smile|neutral|flat') THEN 'neutral' WHEN regexp_matches(sentence, '(?i)smil') THEN 'smiling' ELSE '' END ELSE '' END AS expected FROM c""")
+@query("str07", f"WITH {CLAIMS} SELECT claim_id, {C.expected_states_sql('topic', 'sentence')} AS expected FROM c")
 def str07(spark: SparkSession, d: str) -> DataFrame:
     """States that a claim's wording expects."""
     return claims(spark, d).select("claim_id", F.array_join(C.expected_states(F.col("topic"), F.col("sentence")), " ").alias("expected"))
