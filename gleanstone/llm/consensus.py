@@ -178,5 +178,5 @@ def spelled(c: Column, forms: list[tuple[str, int]], share: float = 0.25, most:
 def spelled_once(df: DataFrame, column: str, forms: list[tuple[str, int]], out: str) -> DataFrame:
     """``df`` with ``out``, the class that its text column evidently spells; each different spelling is looked up once."""
     df = df.withColumn("plain " + column, plain_label(F.col(column)))
-    known = df.select(F.col("plain " + column).alias("p")).where("p is not null").distinct().withColumn(out, spelled(F.col("p"), forms)).where(F.col(out).isNotNull())
+    known = df.select(F.col("plain " + column).alias("p")).where("p is not null").distinct().withColumn(out, spelled(F.col("p"), forms))  # a filter on it would be pushed in front of the distinct
     return df.join(known, df["plain " + column] == known["p"], "left").drop("p", "plain " + column)
