@@ -25,7 +25,7 @@ KNOTS = {
     "long_pause_share": [(0, 100), (0.05, 100), (0.15, 85), (0.30, 60), (0.50, 30), (0.80, 0)],
 }
 FUSION = {"eye_contact": 0.20, "head_pose": 0.15, "hand_gesture": 0.10, "facial_expression": 0.15, "answer_quality": 0.40}
-BANDS = [(85, "Excellent"), (70, "Good"), (55, "Fair"), (40, "Weak")]
+BANDS = [(85, "Excellent"), (70, "Good"), (55, "Fair"), (40, "Needs Work")]
 
 
 def piecewise(x: Column, knots: list[tuple[float, float]]) -> Column:
@@ -52,11 +52,11 @@ def band(score: Column) -> Column:
     out = F.when(score.isNull(), F.lit(None).cast("string"))
     for least, name in BANDS:
         out = out.when(score >= least, name)
-    return out.otherwise("Poor")
+    return out.otherwise("Priority")
 
 
 def band_index(score: Column) -> Column:
-    """0 (poor) to 4 (excellent)."""
+    """0 (Priority) to 4 (Excellent)."""
     out = F.when(score.isNull(), F.lit(None).cast("int"))
     for i, (least, _) in enumerate(BANDS):
         out = out.when(score >= least, 4 - i)

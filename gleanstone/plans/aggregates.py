@@ -266,13 +266,13 @@ def agg29(spark: SparkSession, d: str) -> DataFrame:
 BANDS = "CASE WHEN s >= 85 THEN 4 WHEN s >= 70 THEN 3 WHEN s >= 55 THEN 2 WHEN s >= 40 THEN 1 ELSE 0 END"
 
 
-@query("agg30", f"WITH b AS (SELECT o_custkey, {BANDS} AS band FROM (SELECT o_custkey, o_totalprice / 5000 AS s FROM orders)) SELECT o_custkey, ['Poor', 'Weak', 'Fair', 'Good', 'Excellent'][CAST(round_even(avg(band), 0) AS INTEGER) + 1] AS band FROM b GROUP BY 1")
+@query("agg30", f"WITH b AS (SELECT o_custkey, {BANDS} AS band FROM (SELECT o_custkey, o_totalprice / 5000 AS s FROM orders)) SELECT o_custkey, ['Priority', 'Needs Work', 'Fair', 'Good', 'Excellent'][CAST(round_even(avg(band), 0) AS INTEGER) + 1] AS band FROM b GROUP BY 1")
 def agg30(spark: SparkSession, d: str) -> DataFrame:
     """Band of a session: the mean band index, rounded half to even."""
     from gleanstone.functions.scoring import band_index
 
     b = table(spark, d, "orders").select("o_custkey", band_index(F.col("o_totalprice") / 5000).alias("b")).groupBy("o_custkey").agg(F.bround(F.avg("b"), 0).cast("int").alias("i"))
-    return b.select("o_custkey", F.get(F.array(*map(F.lit, ("Poor", "Weak", "Fair", "Good", "Excellent"))), F.col("i")).alias("band"))
+    return b.select("o_custkey", F.get(F.array(*map(F.lit, ("Priority", "Needs Work", "Fair", "Good", "Excellent"))), F.col("i")).alias("band"))
 
 
 @query("agg31", "SELECT p_mfgr, round(avg(p_size), 9) AS clarity, round(avg(p_retailprice), 9) AS usefulness FROM (SELECT substr(p_brand, 1, 7) AS p_mfgr, p_size, p_retailprice FROM part) GROUP BY 1")

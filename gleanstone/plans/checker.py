@@ -272,7 +272,7 @@ def coa03(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft_train").where("qid IS NOT NULL").select("qid", t.alias("template")).distinct()
 
 
-@query("coa04", "SELECT c_custkey, CASE WHEN s >= 85 THEN 'Excellent' WHEN s >= 70 THEN 'Good' WHEN s >= 55 THEN 'Fair' WHEN s >= 40 THEN 'Weak' ELSE 'Poor' END AS overall FROM (SELECT c_custkey, coalesce(s_acctbal, c_acctbal) / 100 AS s FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey)")
+@query("coa04", "SELECT c_custkey, CASE WHEN s >= 85 THEN 'Excellent' WHEN s >= 70 THEN 'Good' WHEN s >= 55 THEN 'Fair' WHEN s >= 40 THEN 'Needs Work' ELSE 'Priority' END AS overall FROM (SELECT c_custkey, coalesce(s_acctbal, c_acctbal) / 100 AS s FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey)")
 def coa04(spark: SparkSession, d: str) -> DataFrame:
     """Overall band from the learned score, else from the rule score."""
     from gleanstone.functions.scoring import band

@@ -278,7 +278,7 @@ def mth02(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.round(G.clamp(F.col("c_acctbal") / 50), 1).alias("score"))
 
 
-@query("mth03", "SELECT c_custkey, CASE WHEN s >= 85 THEN 'Excellent' WHEN s >= 70 THEN 'Good' WHEN s >= 55 THEN 'Fair' WHEN s >= 40 THEN 'Weak' ELSE 'Poor' END AS band FROM (SELECT c_custkey, c_acctbal / 100 AS s FROM customer)")
+@query("mth03", "SELECT c_custkey, CASE WHEN s >= 85 THEN 'Excellent' WHEN s >= 70 THEN 'Good' WHEN s >= 55 THEN 'Fair' WHEN s >= 40 THEN 'Needs Work' ELSE 'Priority' END AS band FROM (SELECT c_custkey, c_acctbal / 100 AS s FROM customer)")
 def mth03(spark: SparkSession, d: str) -> DataFrame:
     """Band of a score."""
     return table(spark, d, "customer").select("c_custkey", G.band(F.col("c_acctbal") / 100).alias("band"))

@@ -374,7 +374,7 @@ s AS (SELECT key, {G.piecewise_sql('contact', G.KNOTS['contact'])} AS eye, {G.pi
 f AS (SELECT *, (0.2 * eye + 0.1 * hand + 0.15 * face) / 0.45 AS overall FROM s)"""
 
 
-@query("ctl01", PIPELINE + " SELECT key, round(eye, 6) AS eye, round(hand, 6) AS hand, round(face, 6) AS face, round(overall, 6) AS overall, CASE WHEN overall >= 85 THEN 'Excellent' WHEN overall >= 70 THEN 'Good' WHEN overall >= 55 THEN 'Fair' WHEN overall >= 40 THEN 'Weak' ELSE 'Poor' END AS band FROM f")
+@query("ctl01", PIPELINE + " SELECT key, round(eye, 6) AS eye, round(hand, 6) AS hand, round(face, 6) AS face, round(overall, 6) AS overall, CASE WHEN overall >= 85 THEN 'Excellent' WHEN overall >= 70 THEN 'Good' WHEN overall >= 55 THEN 'Fair' WHEN overall >= 40 THEN 'Needs Work' ELSE 'Priority' END AS band FROM f")
 def ctl01(spark: SparkSession, d: str) -> DataFrame:
     """The whole batch: evidence to shares, scores, fusion and band of each clip, in one lazy plan."""
     v, s = F.col("value"), F.col("share")

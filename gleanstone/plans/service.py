@@ -141,7 +141,7 @@ def coa08(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "feedback").where("key IS NOT NULL AND improvements IS NOT NULL").groupBy("key").agg(F.min_by("approach", order).alias("coach"))
 
 
-BODY = PIPELINE + " SELECT key, CASE WHEN overall >= 85 THEN 'Excellent' WHEN overall >= 70 THEN 'Good' WHEN overall >= 55 THEN 'Fair' WHEN overall >= 40 THEN 'Weak' ELSE 'Poor' END AS band, round(overall, 6) AS overall FROM f"
+BODY = PIPELINE + " SELECT key, CASE WHEN overall >= 85 THEN 'Excellent' WHEN overall >= 70 THEN 'Good' WHEN overall >= 55 THEN 'Fair' WHEN overall >= 40 THEN 'Needs Work' ELSE 'Priority' END AS band, round(overall, 6) AS overall FROM f"
 
 
 @query("coa09", f"SELECT key, '<h1>' || key || '</h1><p>' || band || '</p>' AS html FROM ({BODY})")
