@@ -25,7 +25,8 @@ def log_items(spark: SparkSession, d: str) -> DataFrame:
     """The citable log: key, id (E1 ..., P1 ...), type, value, start, end."""
     p = table(spark, d, "evidence").where("type = 'pause' AND start IS NOT NULL").select("key", "type", "value", "start", F.coalesce("end", "start").alias("end")).distinct().withColumn("p", F.lit("P"))
     a = episodes(spark, d).select("key", "type", "value", "start", "end", F.lit("E").alias("p")).unionByName(p)
-    return numbered(a, ["key", "p"], ["start", "type", "value", "end"], "n").select("key", "type", "value", "start", "end", F.concat("p", "n").alias("id"))
+    a = a.withColumns({"v": F.col("value").isNull(), "e": F.col("end").isNull()})  # nulls last
+    return numbered(a, ["key", "p"], ["start", "type", "v", "value", "e", "end"], "n").select("key", "type", "value", "start", "end", F.concat("p", "n").alias("id"))
 
 
 @query("ver01")
@@ -94,37 +95,6 @@ def ver05(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).where(F.col("issue").rlike(f"(?i){C.TOPICS['filler']}")).select("feedback_id", "n")
 
 
-@query("ver06")
-def ver06(spark: SparkSession, d: str) -> DataFrame:
-    """Quotations in points of which under 60 % of the words are spoken in the clip."""
-    w = table(spark, d, "evidence").where("type = 'word'").groupBy("key").agg(F.collect_set(F.regexp_replace(F.lower("value"), "[^a-z0-9']", "")).alias("words"))
-    q = points(spark, d).select("feedback_id", "key", "n", F.explode(C.quotes(F.col("issue"), 6)).alias("q"))
-    return q.join(w, "key").where(C.quote_overlap(F.col("q"), F.col("words")) < 0.6).select("feedback_id", "n", "q")
-
-
-def timed_points(spark: SparkSession, d: str) -> DataFrame:
-    """feedback_id, key, n, dimension, sentence and each time that a point's sentence claims."""
-    s = points(spark, d).where("issue IS NOT NULL").select("feedback_id", "key", "n", "dimension", F.explode(C.sentences_of(F.col("issue"))).alias("sentence"))
-    return s.select("*", F.explode(C.claimed_times(F.col("sentence"))).alias("t")).select("feedback_id", "key", "n", "dimension", "sentence", "t.t0", "t.t1", "t.pos")
-
-
-@query("ver07")
-def ver07(spark: SparkSession, d: str) -> DataFrame:
-    """Times that fall into no cited item within a second."""
-    c = cited(spark, d).where("start IS NOT NULL").select("feedback_id", "n", "start", "end")
-    t = timed_points(spark, d).join(c, ["feedback_id", "n"], "left").groupBy("feedback_id", "n", "sentence", "t0", "t1").agg(F.coalesce(F.max((F.col("start") - 1 <= F.col("t1")) & (F.col("end") + 1 >= F.col("t0"))), F.lit(False)).alias("hit"))
-    return t.where("NOT hit").select("feedback_id", "n", "t0", "t1")
-
-
-@query("ver08")
-def ver08(spark: SparkSession, d: str) -> DataFrame:
-    """Times whose cited items of the topic show none of the states that the wording expects."""
-    t = timed_points(spark, d).withColumn("topic", C.topic_at(F.col("sentence"), F.col("pos"), F.col("dimension"))).withColumn("expected", C.expected_states(F.col("topic"), F.col("sentence"))).where("size(expected) > 0")
-    c = cited(spark, d).where("start IS NOT NULL").select("feedback_id", "n", F.col("type").alias("topic"), "value", "start", "end")
-    j = t.join(c, ["feedback_id", "n", "topic"]).where("start - 1 <= t1 AND end + 1 >= t0")
-    return j.groupBy("feedback_id", "n", "t0", "t1").agg(F.max(F.array_contains("expected", F.col("value"))).alias("ok")).where("NOT ok").select("feedback_id", "n", "t0", "t1")
-
-
 @query("ver09", SHARES + f", {POINTS}, x AS (SELECT feedback_id, n, key, CASE WHEN regexp_matches(issue, '(?i)eye contact') THEN 'gaze' WHEN regexp_matches(issue, '(?i)smil') THEN 'face' END AS topic, CASE WHEN regexp_matches(issue, '(?i)eye contact') THEN 'eye_contact' WHEN regexp_matches(issue, '(?i)smil') THEN 'smiling' END AS state FROM pts) SELECT x.feedback_id, CAST(x.n AS INTEGER) AS n, round(coalesce(max(share) FILTER (value = state), 0), 9) AS share FROM x JOIN shares s ON s.key = x.key AND s.type = x.topic GROUP BY 1, 2 HAVING coalesce(max(share) FILTER (value = state), 0) < 0.25")
 def ver09(spark: SparkSession, d: str) -> DataFrame:
     """Whole-clip statements about a state that takes under a quarter of the time."""
@@ -313,14 +283,6 @@ def coa07(spark: SparkSession, d: str) -> DataFrame:
     return s.select("example_id", F.coalesce("lang", F.when(F.col("key").contains("_q1"), "en").otherwise("th")).alias("lang"), F.coalesce(F.nullif(F.regexp_extract("key", "_q([1-6])", 1), F.lit("")), F.lit("0")).alias("question"))
 
 
-@query("ver11")
-def ver11(spark: SparkSession, d: str) -> DataFrame:
-    """Improvements that repeat an earlier one."""
-    from gleanstone.plans.joins import jn23
-
-    return jn23(spark, d)
-
-
 @query("ver13", """SELECT feedback_id, len(list_distinct([x for x in regexp_extract_all(regexp_replace(t, '\\[[^\\]]*\\]', '', 'g'), '\\d+(?:\\.\\d+)?') if NOT list_contains(k, x)])) AS invented
 FROM (SELECT DISTINCT ON (feedback_id) feedback_id, improved_answer.rewritten_en AS t, regexp_extract_all(coalesce(improved_answer.original_snippet, ''), '\\d+(?:\\.\\d+)?') AS k FROM feedback) WHERE t IS NOT NULL""")
 def ver13(spark: SparkSession, d: str) -> DataFrame:
