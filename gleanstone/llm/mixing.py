@@ -89,7 +89,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, block_tokens: int =
 
     Documents without text or tokens are never drawn, nor are those of a null source or one
     without target; a null or negative share counts as 0; repeated (mix_id, source) targets count
-    once; a source without documents is reported with 0. Empty tables give an empty result.
+    once; of different budgets of a mix the largest counts; a source without documents is reported with 0. Empty tables give an empty result.
     """
     t = targets.select("mix_id", code_form(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), F.coalesce("budget_share", F.lit(0.0)).alias("budget_share"))
     t = t.where("mix_id is not null and source is not null").dropDuplicates(["mix_id", "source"])
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, block_tokens: int =
     whole = room.groupBy("shard").agg(F.sum("tokens").alias("all"))
     room = room.where("tokens > 0 and source is not null").withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("tokens") / block_tokens)).cast("bigint"))
     asked = room.join(t, "source").join(whole, "shard").groupBy("shard", "mix_id").agg(
-        F.first("all").alias("all"), F.first("budget_share").alias("budget"), F.sort_array(F.collect_list(F.struct("source", "target_share", (F.col("blocks") * F.col("max_repeats")).alias("cap")))).alias("s"))
+        F.first("all").alias("all"), F.max("budget_share").alias("budget"), F.sort_array(F.collect_list(F.struct("source", "target_share", (F.col("blocks") * F.col("max_repeats")).alias("cap")))).alias("s"))
 
     def quotas(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

@@ -14,8 +14,9 @@ QUERIES = {
     "p5_found": time_queries.p5_found,
     "p6_found": text_queries.p6_found,
     "p7_found": leak_queries.p7_found,
-    "p8_selection": corpus_queries.p8_selection,
     "p8_mixes": corpus_queries.p8_mixes,
+    "p8_selection": corpus_queries.p8_selection,
+    "p8_checked": corpus_queries.p8_checked,
     "p9_found": corpus_queries.p9_found,
     "p9_statistics": corpus_queries.p9_statistics,
 }
@@ -23,4 +24,5 @@ SQL = {
     "p2_agreement": label_queries.AGREEMENT_SQL,
     "p4_found": time_queries.P4_SQL,
     "p5_found": time_queries.P5_SQL,
+    "p8_checked": corpus_queries.CHECKED_SQL,
 }

@@ -46,3 +46,12 @@ def test_empty(spark, corpus):
     sel, rep = M.mix(corpus.limit(0), t)
     assert sel.count() == 0 and rep.first()["actual_share"] is None
     assert M.mix(corpus, t.limit(0))[1].count() == 0
+
+
+def test_shares_under_caps():
+    from gleanstone.llm.corpus_queries import capped_shares
+
+    assert capped_shares([0.5, 0.5], [10, 1000], 100) == [10, 90]
+    assert capped_shares([0.6, 0.3, 0.1], [1000, 1000, 1000], 100) == [60, 30, 10]
+    assert capped_shares([0.6, 0.3, 0.1], [20, 40, 1000], 100) == [20, 40, 40]
+    assert capped_shares([1, 0], [5, 9], 100) == [5, 0] and capped_shares([], [], 3) == []
