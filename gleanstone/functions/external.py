@@ -59,7 +59,7 @@ def length_rater() -> Model:
 
 def first_sentence() -> Model:
     """Stand-in writer: gives back a text's first sentence."""
-    return lambda texts: [(t or "").split(". ")[0][:200] or None for t in texts]
+    return lambda texts: [(t or "").split(". ")[0] or None for t in texts]
 
 
 def with_tries(call: Callable[[str], str], check: Callable[[str], bool], tries: int = 3, wait: Callable[[int], None] = lambda n: None) -> Callable[[str], str | None]:

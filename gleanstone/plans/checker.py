@@ -42,23 +42,36 @@ def ver01(spark: SparkSession, d: str) -> DataFrame:
     return s.select("feedback_id", "field", "dimension", "sentence", F.col("t.text").alias("time_text"), "t.t0", "t.t1", "topic", F.array_join(C.expected_states(F.col("topic"), F.col("sentence")), " ").alias("expected"), F.get(C.quotes(F.col("sentence")), F.lit(0)).alias("quote"))
 
 
-TIMED = f"""{CLAIMS}, s AS (SELECT claim_id, lower(trim(key)) AS k, topic, coalesce(expected, '') AS expected, clip_duration, least(t0, coalesce(t1, t0)) AS a, greatest(t0, coalesce(t1, t0)) AS b FROM c WHERE t0 IS NOT NULL)"""
-
-
-@query("ver02", f"""WITH {TIMED}, {BEHAVIOURS}, e AS (SELECT evidence_id, lower(trim(key)) AS k, type, value, start, "end" FROM behaviours UNION ALL SELECT DISTINCT evidence_id, lower(trim(key)), type, value, start, coalesce("end", start) FROM evidence WHERE type = 'pause' AND start IS NOT NULL),
-n AS (SELECT claim_id, count(*) AS n, bool_or(position(e.value IN s.expected) > 0) AS hit FROM s JOIN e ON e.k = s.k AND e.type = s.topic AND e.start <= s.b + 1.0 AND e."end" >= s.a - 1.0 GROUP BY 1)
-SELECT s.claim_id, CASE WHEN a > clip_duration + 1.0 THEN 'out_of_range' WHEN topic IS NULL OR topic = 'filler' THEN 'unverifiable' WHEN n.n IS NULL THEN 'unsupported' WHEN expected = '' OR hit THEN 'supported' ELSE 'contradicted' END AS verdict FROM s LEFT JOIN n USING (claim_id)""")
+# Words that count as fillers, seconds around a quotation in which its words must be spoken.
+FILLERS, AROUND = ("um", "uh", "er", "ah", "hmm", "erm", "like"), 3.0
+TIMED = f"""{CLAIMS}, s AS (SELECT claim_id, lower(trim(key)) AS k, topic, quote, coalesce(expected, '') AS expected, clip_duration, least(t0, coalesce(t1, t0)) AS a, greatest(t0, coalesce(t1, t0)) AS b FROM c WHERE t0 IS NOT NULL)"""
+
+
+@query("ver02", f"""WITH {TIMED}, {BEHAVIOURS}, w AS (SELECT DISTINCT evidence_id, lower(trim(key)) AS k, regexp_replace(lower(value), '[^a-z0-9'']', '', 'g') AS value, start, coalesce("end", start) AS "end" FROM evidence WHERE type = 'word' AND start IS NOT NULL),
+e AS (SELECT evidence_id, lower(trim(key)) AS k, type, value, start, "end" FROM behaviours UNION ALL SELECT DISTINCT evidence_id, lower(trim(key)), type, value, start, coalesce("end", start) FROM evidence WHERE type = 'pause' AND start IS NOT NULL UNION ALL SELECT evidence_id, k, 'filler', value, start, "end" FROM w WHERE value IN {FILLERS}),
+n AS (SELECT claim_id, count(*) AS n, bool_or(position(e.value IN s.expected) > 0) AS hit FROM s JOIN e ON e.k = s.k AND e.type = s.topic AND e.start <= s.b + 1.0 AND e."end" >= s.a - 1.0 GROUP BY 1),
+q AS (SELECT claim_id, [x for x in regexp_split_to_array(regexp_replace(lower(quote), '[^a-z0-9'' ]', '', 'g'), ' +') if x <> ''] AS q FROM s WHERE topic = 'quote'),
+said AS (SELECT claim_id, list(DISTINCT value) AS words FROM s JOIN w ON w.k = s.k AND w.start <= s.b + {AROUND} AND w."end" >= s.a - {AROUND} WHERE topic = 'quote' GROUP BY 1)
+SELECT s.claim_id, CASE WHEN a > clip_duration + 1.0 THEN 'out_of_range' WHEN topic IS NULL THEN 'unverifiable' WHEN topic = 'quote' THEN CASE WHEN coalesce(len(q), 0) = 0 THEN 'unverifiable' WHEN len([x for x in q if list_contains(words, x)]) / len(q) >= 0.6 THEN 'supported' ELSE 'unsupported' END
+WHEN n.n IS NULL THEN 'unsupported' WHEN topic = 'filler' OR expected = '' OR hit THEN 'supported' ELSE 'contradicted' END AS verdict FROM s LEFT JOIN n USING (claim_id) LEFT JOIN q USING (claim_id) LEFT JOIN said USING (claim_id)""")
 def ver02(spark: SparkSession, d: str) -> DataFrame:
-    """Verdict of each claim: beyond the clip, without a measured topic, unsupported, supported, contradicted."""
+    """Verdict of each claim: beyond the clip, without a topic, unsupported, supported, contradicted.
+
+    A claimed filler is supported by a filler word within a second, a quotation by six tenths of its words within three.
+    """
     t1 = F.coalesce("t1", "t0")
-    s = claims(spark, d).where("t0 IS NOT NULL").select("claim_id", F.lower(F.trim("key")).alias("k"), "topic", F.coalesce("expected", F.lit("")).alias("expected"), "clip_duration", F.least("t0", t1).alias("a_start"), F.greatest("t0", t1).alias("a_end"))
+    s = claims(spark, d).where("t0 IS NOT NULL").select("claim_id", F.lower(F.trim("key")).alias("k"), "topic", "quote", F.coalesce("expected", F.lit("")).alias("expected"), "clip_duration", F.least("t0", t1).alias("a_start"), F.greatest("t0", t1).alias("a_end"))
     p = table(spark, d, "evidence").where("type = 'pause' AND start IS NOT NULL").select("evidence_id", "key", "type", "value", "start", F.coalesce("end", "start").alias("end")).distinct()
-    e = behaviours(spark, d).select("evidence_id", "key", "type", "value", "start", "end").unionByName(p)
-    e = e.select(F.lower(F.trim("key")).alias("k"), F.col("type").alias("topic"), "value", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    n = overlap_join(s, e, ["k", "topic"], 1.0, 10.0).groupBy("claim_id").agg(F.max(F.expr("position(value IN expected) > 0")).alias("hit"))
-    j = s.join(n.withColumn("near", F.lit(True)), "claim_id", "left")
-    v = F.when(F.col("a_start") > F.col("clip_duration") + 1.0, "out_of_range").when(F.col("topic").isNull() | (F.col("topic") == "filler"), "unverifiable").when(F.col("near").isNull(), "unsupported")
-    return j.select("claim_id", v.when((F.col("expected") == "") | F.col("hit"), "supported").otherwise("contradicted").alias("verdict"))
+    w = table(spark, d, "evidence").where("type = 'word' AND start IS NOT NULL").select("evidence_id", "key", F.lit("filler").alias("type"), F.regexp_replace(F.lower("value"), "[^a-z0-9']", "").alias("value"), "start", F.coalesce("end", "start").alias("end")).distinct()
+    e = behaviours(spark, d).select("evidence_id", "key", "type", "value", "start", "end").unionByName(p).unionByName(w.where(F.col("value").isin(*FILLERS)))
+    spans = [F.lower(F.trim("key")).alias("k"), F.col("type").alias("topic"), "value", F.col("start").alias("b_start"), F.col("end").alias("b_end")]
+    n = overlap_join(s, e.select(*spans), ["k", "topic"], 1.0, 10.0).groupBy("claim_id").agg(F.max(F.expr("position(value IN expected) > 0")).alias("hit"))
+    said = overlap_join(s.where("topic = 'quote'"), w.select(*spans).drop("topic"), ["k"], AROUND, 10.0).groupBy("claim_id").agg(F.collect_set("value").alias("words"))  # the words of a few seconds
+    j = s.join(n.withColumn("near", F.lit(True)), "claim_id", "left").join(said, "claim_id", "left")
+    share = C.quote_overlap(F.col("quote"), F.coalesce("words", F.array().cast("array<string>")))
+    spoken = F.when(share.isNull(), "unverifiable").when(share >= 0.6, "supported").otherwise("unsupported")
+    v = F.when(F.col("a_start") > F.col("clip_duration") + 1.0, "out_of_range").when(F.col("topic").isNull(), "unverifiable").when(F.col("topic") == "quote", spoken).when(F.col("near").isNull(), "unsupported")
+    return j.select("claim_id", v.when((F.col("topic") == "filler") | (F.col("expected") == "") | F.col("hit"), "supported").otherwise("contradicted").alias("verdict"))
 
 
 CITED = LOG + f", {POINTS}, cited AS (SELECT feedback_id, key, n, dimension, unnest(ids) AS id FROM pts), hits AS (SELECT c.*, l.type, l.value, l.start, l.\"end\" FROM cited c LEFT JOIN log l ON l.key = c.key AND l.id = c.id)"

@@ -10,6 +10,9 @@ import pytest
 from gleanstone.plans import registry
 
 
+FEW = {"ver08"}  # no such point in the smallest tables; planted ones are in test_report.py
+
+
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else float(f"{v:.8g}")
@@ -36,3 +39,5 @@ def test_query(spark, sf, duck, name):
         assert sorted(rel.columns) == cols
         at = [rel.columns.index(c) for c in cols]
         assert got == Counter(tuple(plain(r[i]) for i in at) for r in rel.fetchall())
+    else:
+        assert got or name in FEW
