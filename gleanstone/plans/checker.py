@@ -126,17 +126,6 @@ def ver10(spark: SparkSession, d: str) -> DataFrame:
     return p.where("many_ids OR ids_in_text OR too_long OR k > 3").drop("k")
 
 
-@query("ver12")
-def ver12(spark: SparkSession, d: str) -> DataFrame:
-    """Times in summaries that no log item of the same topic meets within a second."""
-    f = table(spark, d, "feedback").dropDuplicates(["feedback_id"]).where("overall_summary_en IS NOT NULL")
-    s = f.select("feedback_id", "key", F.explode(C.sentences_of(F.col("overall_summary_en"))).alias("sentence"))
-    t = s.select("*", F.explode(C.claimed_times(F.col("sentence"))).alias("t")).select("feedback_id", "key", F.col("t.t0").alias("a_start"), F.col("t.t1").alias("a_end"), C.topic_at(F.col("sentence"), F.col("t.pos"), F.lit(None).cast("string")).alias("topic"))
-    e = log_items(spark, d).select("key", F.col("type").alias("b_type"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    hit = overlap_join(t, e, ["key"], 1.0, 10.0).where("topic IS NULL OR topic = b_type").select("feedback_id", "a_start", "a_end").distinct()
-    return t.select("feedback_id", "a_start", "a_end").distinct().join(hit, ["feedback_id", "a_start", "a_end"], "left_anti").withColumnsRenamed({"a_start": "t0", "a_end": "t1"})
-
-
 @query("ver14", CITED + f""", pr AS (SELECT feedback_id, n, 'no_ids' AS problem FROM pts WHERE coalesce(len(ids), 0) = 0 UNION ALL SELECT DISTINCT feedback_id, n, 'unknown_id' FROM hits WHERE type IS NULL AND left(id, 1) IN ('E', 'P')
 UNION ALL SELECT feedback_id, n, 'wrong_source' FROM hits WHERE type IS NOT NULL AND dimension IS NOT NULL GROUP BY feedback_id, n, dimension HAVING NOT bool_or(list_contains({SOURCES}, type)) UNION ALL SELECT feedback_id, n, 'filler' FROM pts WHERE regexp_matches(issue, '(?i){C.TOPICS['filler']}'))
 SELECT p.feedback_id, CAST(p.n AS INTEGER) AS n, CASE WHEN count(pr.problem) > 0 THEN 'failed' ELSE 'ok' END AS status, coalesce(string_agg(pr.problem, ' ' ORDER BY pr.problem), '') AS problems FROM pts p LEFT JOIN pr ON p.feedback_id = pr.feedback_id AND p.n = pr.n GROUP BY 1, 2""")

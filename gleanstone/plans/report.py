@@ -165,6 +165,12 @@ def ver11(spark: SparkSession, d: str) -> DataFrame:
     return _one(spark, d, "duplicate")
 
 
+@query("ver12")
+def ver12(spark: SparkSession, d: str) -> DataFrame:
+    """Problems of summaries: times that no log item of the topic meets within a second, fillers."""
+    return text_problems(table(spark, d, "feedback"), cut(whole_log(spark, d))).where("section = 'summary'").select("feedback_id", "problem")
+
+
 @query("ver14_report")
 def ver14_report(spark: SparkSession, d: str) -> DataFrame:
     """The checker's report on every feedback, with all its problem codes."""
