@@ -41,7 +41,7 @@ class _Runs:
         seg = np.concatenate([[0], np.cumsum(new_seg)])
         top = reach_in[by[np.maximum.accumulate(seg * (n + 1) + rank) - seg * (n + 1)]][1:]
         before = np.concatenate([[held[3] if held else -np.inf], top[:-1]])
-        opens = new_seg if np.isinf(self.gap) else new_seg | (start > before + self.gap)
+        opens = new_seg if np.isinf(self.gap) else new_seg | (start - before > self.gap)
         at = np.flatnonzero(opens)
         # the end of the run before each opening: the next start where runs tile the time, else its own largest end
         closed = np.where(new_key[at] | (not self.tile), before[at], start[at])
@@ -119,7 +119,7 @@ def closed_runs(df: DataFrame, keys: list[str], state: str, start: str, end: str
         if now and now[0] == r["first_key"]:
             carry[r["p"]] = now
         if now and r["whole"] and now[:2] == (r["key"], r["state"]):
-            now = (now[0], now[1], r["begin"] if r["begin"] > now[3] + gap else now[2], max(now[3], r["top"]))
+            now = (now[0], now[1], r["begin"] if r["begin"] - now[3] > gap else now[2], max(now[3], r["top"]))
         else:
             now = (r["key"], r["state"], r["begin"], r["top"])
         if n + 1 < len(got) and got[n + 1]["first_key"] == r["key"]:
