@@ -15,7 +15,7 @@ from gleanstone.plans.aggregates import SHARES, state_shares
 from gleanstone.plans.base import BEHAVIOURS, behaviours, query
 from gleanstone.plans.joins import ALERTS, CLAIMS, LABELS, POINTS, alerts, claims, matches, points, staged
 from gleanstone.plans.windows import EPISODES, episodes
-from gleanstone.session import table
+from gleanstone.session import cut, table
 
 LOG = EPISODES + """, la AS (SELECT 'E' AS p, key, type, value, start, "end" FROM ep UNION ALL SELECT DISTINCT 'P', key, type, value, start, coalesce("end", start) FROM evidence WHERE type = 'pause' AND start IS NOT NULL),
 log AS (SELECT key, type, value, start, "end", p || row_number() OVER (PARTITION BY key, p ORDER BY start, type, value, "end") AS id FROM la)"""
@@ -86,9 +86,13 @@ def cited(spark: SparkSession, d: str) -> DataFrame:
 @query("ver03", CITED + """ SELECT p.feedback_id, CAST(p.n AS INTEGER) AS n, CASE WHEN coalesce(len(p.ids), 0) = 0 THEN 'no_ids' ELSE 'unknown_id' END AS problem FROM pts p LEFT JOIN (SELECT feedback_id, n, count(*) FILTER (type IS NULL AND left(id, 1) IN ('E', 'P')) AS u FROM hits GROUP BY 1, 2) h ON p.feedback_id = h.feedback_id AND p.n = h.n WHERE coalesce(len(p.ids), 0) = 0 OR u > 0""")
 def ver03(spark: SparkSession, d: str) -> DataFrame:
     """Points without ids, or with ids of events and pauses that the log doesn't have."""
-    u = cited(spark, d).where("type IS NULL AND left(id, 1) IN ('E', 'P')").select("feedback_id", "n").distinct().withColumn("u", F.lit(True))
+    return unknown_ids(points(spark, d), cited(spark, d))
+
+
+def unknown_ids(points: DataFrame, hits: DataFrame) -> DataFrame:
+    u = hits.where("type IS NULL AND left(id, 1) IN ('E', 'P')").select("feedback_id", "n").distinct().withColumn("u", F.lit(True))
     none = F.coalesce(F.size("ids"), F.lit(0)) <= 0
-    return points(spark, d).join(u, ["feedback_id", "n"], "left").where(none | F.col("u")).select("feedback_id", "n", F.when(none, "no_ids").otherwise("unknown_id").alias("problem"))
+    return points.join(u, ["feedback_id", "n"], "left").where(none | F.col("u")).select("feedback_id", "n", F.when(none, "no_ids").otherwise("unknown_id").alias("problem"))
 
 
 SOURCES = "CASE dimension WHEN 'eye_contact' THEN ['gaze'] WHEN 'head_pose' THEN ['head'] WHEN 'hand_gesture' THEN ['hand'] WHEN 'facial_expression' THEN ['face'] WHEN 'answer_quality' THEN ['speech', 'pause', 'transcript'] END"
@@ -97,8 +101,12 @@ SOURCES = "CASE dimension WHEN 'eye_contact' THEN ['gaze'] WHEN 'head_pose' THEN
 @query("ver04", CITED + f" SELECT feedback_id, CAST(n AS INTEGER) AS n FROM hits WHERE type IS NOT NULL AND dimension IS NOT NULL GROUP BY feedback_id, n, dimension HAVING NOT bool_or(list_contains({SOURCES}, type))")
 def ver04(spark: SparkSession, d: str) -> DataFrame:
     """Points none of whose cited items is of a kind that their dimension may cite."""
+    return wrong_sources(cited(spark, d))
+
+
+def wrong_sources(hits: DataFrame) -> DataFrame:
     allowed = F.create_map(*[x for k, v in C.DIMENSION_SOURCES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    h = cited(spark, d).where("type IS NOT NULL AND dimension IS NOT NULL").groupBy("feedback_id", "n", "dimension").agg(F.max(F.array_contains(F.try_element_at(allowed, F.col("dimension")), F.col("type"))).alias("ok"))
+    h = hits.where("type IS NOT NULL AND dimension IS NOT NULL").groupBy("feedback_id", "n", "dimension").agg(F.max(F.array_contains(F.try_element_at(allowed, F.col("dimension")), F.col("type"))).alias("ok"))
     return h.where("NOT ok").select("feedback_id", "n")
 
 
@@ -131,7 +139,8 @@ UNION ALL SELECT feedback_id, n, 'wrong_source' FROM hits WHERE type IS NOT NULL
 SELECT p.feedback_id, CAST(p.n AS INTEGER) AS n, CASE WHEN count(pr.problem) > 0 THEN 'failed' ELSE 'ok' END AS status, coalesce(string_agg(pr.problem, ' ' ORDER BY pr.problem), '') AS problems FROM pts p LEFT JOIN pr ON p.feedback_id = pr.feedback_id AND p.n = pr.n GROUP BY 1, 2""")
 def ver14(spark: SparkSession, d: str) -> DataFrame:
     """Report of each point: its problems, and whether it fails."""
-    pr = [ver03(spark, d), ver04(spark, d).withColumn("problem", F.lit("wrong_source")), ver05(spark, d).withColumn("problem", F.lit("filler"))]
+    hits = cut(cited(spark, d))  # the log is read once
+    pr = [unknown_ids(points(spark, d), hits), wrong_sources(hits).withColumn("problem", F.lit("wrong_source")), ver05(spark, d).withColumn("problem", F.lit("filler"))]
     pr = reduce(DataFrame.unionByName, pr).groupBy("feedback_id", "n").agg(F.array_join(F.array_sort(F.collect_list("problem")), " ").alias("problems"))
     return points(spark, d).select("feedback_id", "n").join(pr, ["feedback_id", "n"], "left").select("feedback_id", "n", F.when(F.col("problems").isNull(), "ok").otherwise("failed").alias("status"), F.coalesce("problems", F.lit("")).alias("problems"))
 
