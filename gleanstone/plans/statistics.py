@@ -72,8 +72,8 @@ def weighted_rho(x: str, y: str) -> Column:
 SELECT seg, round(quantile_cont(rho, 0.025), 9) AS low, round(quantile_cont(rho, 0.975), 9) AS high FROM c WHERE rho IS NOT NULL GROUP BY seg""")
 def st02(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap interval of the rank correlation."""
-    c = weighted_ranks(resamples(spark, d).where("x IS NOT NULL AND y IS NOT NULL"), "x", "y").groupBy("b", "seg").agg(weighted_rho("x", "y").alias("rho"))
-    return c.groupBy("seg").agg(*[F.round(F.expr(f"percentile(rho, {p})"), 9).alias(n) for n, p in (("low", 0.025), ("high", 0.975))])
+    c = S.bootstrap_rho(pairs(spark, d), "seg", "id", ["x", "y"], RESAMPLES)
+    return c.groupBy("seg").agg(*[F.round(F.expr(f"percentile(x, {p})"), 9).alias(n) for n, p in (("low", 0.025), ("high", 0.975))])
 
 
 @query("st03", BOOT_SQL + f""", r AS (SELECT b, seg, {_ranked('x', 'b, seg')} AS rx, {_ranked('z', 'b, seg')} AS rz, {_ranked('y', 'b, seg')} AS ry FROM g), c AS (SELECT b, seg, corr(rx, ry) - corr(rz, ry) AS delta FROM r GROUP BY 1, 2),
