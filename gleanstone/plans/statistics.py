@@ -55,19 +55,6 @@ def resamples(spark: SparkSession, d: str, segs: list[str] | None = None) -> Dat
     return s.join(i.select("seg", "k", "x", "y", "z").hint("shuffle_hash"), ["seg", "k"])
 
 
-def weighted_ranks(r: DataFrame, *columns: str) -> DataFrame:
-    """``r`` with d<column>: the distance of a row's rank in its resample from the mean rank, ties sharing ranks."""
-    by = Window.partitionBy("b", "seg")
-    total = F.sum("w").over(by)
-    return r.select("*", *[(F.sum("w").over(by.orderBy(c)) - (F.sum("w").over(Window.partitionBy("b", "seg", c)) - 1) / 2 - (total + 1) / 2).alias(f"d{c}") for c in columns])
-
-
-def weighted_rho(x: str, y: str) -> Column:
-    """Rank correlation of rows with weights (aggregate); null where a side is constant."""
-    xy, xx, yy = (F.sum(F.col("w") * F.col(f"d{a}") * F.col(f"d{b}")) for a, b in ((x, y), (x, x), (y, y)))
-    return F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy))
-
-
 @query("st02", BOOT_SQL + f""", r AS (SELECT b, seg, {_ranked('x', 'b, seg')} AS rx, {_ranked('y', 'b, seg')} AS ry FROM g), c AS (SELECT b, seg, corr(rx, ry) AS rho FROM r GROUP BY 1, 2)
 SELECT seg, round(quantile_cont(rho, 0.025), 9) AS low, round(quantile_cont(rho, 0.975), 9) AS high FROM c WHERE rho IS NOT NULL GROUP BY seg""")
 def st02(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +67,7 @@ def st02(spark: SparkSession, d: str) -> DataFrame:
 q AS (SELECT seg, quantile_cont(delta, 0.025) AS low, quantile_cont(delta, 0.975) AS high FROM c WHERE delta IS NOT NULL GROUP BY seg) SELECT seg, round(low, 9) AS low, round(high, 9) AS high, CASE WHEN low > 0 THEN 'yes' WHEN high < 0 THEN 'no (worse)' ELSE 'not shown' END AS verdict FROM q""")
 def st03(spark: SparkSession, d: str) -> DataFrame:
     """Paired bootstrap of the difference of two correlations on shared draws."""
-    r = weighted_ranks(resamples(spark, d).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"), "x", "y", "z")
-    c = r.groupBy("b", "seg").agg((weighted_rho("x", "y") - weighted_rho("z", "y")).alias("delta"))
+    c = S.bootstrap_rho(pairs(spark, d), "seg", "id", ["x", "z", "y"], RESAMPLES).select("seg", (F.col("x") - F.col("z")).alias("delta"))
     q = c.groupBy("seg").agg(F.expr("percentile(delta, 0.025)").alias("low"), F.expr("percentile(delta, 0.975)").alias("high"))
     return q.select("seg", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), S.verdict(F.col("low"), F.col("high")).alias("verdict"))
 

@@ -58,7 +58,7 @@ def test_bootstrap_rho_by_hand(spark):
     assert bootstrap_rho(spark.createDataFrame([], schema), "seg", "id", ["x", "z", "y"], 30).count() == 0
 
 
-@pytest.mark.parametrize("name", ["st02"])
+@pytest.mark.parametrize("name", ["st02", "st03"])
 def test_draws_are_not_moved(spark, sf, name):
     """2000 resamples of some thousand rows: only the rows themselves go through shuffles."""
     written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
