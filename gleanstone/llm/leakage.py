@@ -16,8 +16,10 @@ WORD, DENSE_WORD = 5, 2  # letters of a changed word, in scripts of letters and
 BAND = 64  # diagonals in half a band; bands overlap by half
 WIDE = 40  # diagonals at either side in the alignment
 PENALTY = 1.5  # of an edited character, against 1 for a matching one
+START_BITS = 31  # of an alignment cell, for its start in the item
 
-MARKS = re.compile(r"\[\d+(?:[.:,]\d+)*\s?s?\]|\d\d?:\d\d:\d\d(?:[.,]\d+)?(?:\s*-->\s*\d\d?:\d\d:\d\d(?:[.,]\d+)?)?|\\[nrt\"]|<[^<>\n]{0,80}>|&[a-z]{2,6};|(?<=\w)-\n(?=\w)")
+# one class of first characters, so that the search may skip to them; what each begins stands behind a look back at it
+MARKS = re.compile(r"[\[\d\\<&\-](?:(?<=\[)\d+(?:[.:,]\d+)*\s?s?\]|(?<=\d)\d?:\d\d:\d\d(?:[.,]\d+)?(?:\s*-->\s*\d\d?:\d\d:\d\d(?:[.,]\d+)?)?|(?<=\\)[nrt\"]|(?<=<)[^<>\n]{0,80}>|(?<=&)[a-z]{2,6};|(?<=\w-)\n(?=\w))")
 ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 
 _points = np.arange(0x33500)  # no letters or digits beyond
@@ -62,6 +64,18 @@ def grams(c: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+def in_order(*columns: np.ndarray) -> np.ndarray:
+    """What ``np.lexsort`` gives, but for rows alike: one sort of the columns' bits side by side where they fit."""
+    low = [int(c.min()) for c in columns]
+    bits = [(int(c.max()) - x).bit_length() for c, x in zip(columns, low)]
+    if sum(bits) > 63:
+        return np.lexsort(columns)
+    key = np.zeros(len(columns[0]), np.int64)
+    for c, x, b in reversed(list(zip(columns, low, bits))):
+        key = key << b | c.astype(np.int64) - x
+    return np.argsort(key)
+
+
 def dense(c: np.ndarray) -> bool:
     """Whether a text is mostly in a script whose characters stand for syllables or words."""
     return len(c) > 0 and np.mean(c >= 0x2E80) > 0.3
@@ -148,7 +162,7 @@ class Index:
             diagonal = p - begins[doc] - k
             band = np.concatenate([diagonal // BAND, diagonal // BAND + 1])
             rows = np.tile(np.arange(len(p)), 2)
-            order = np.lexsort((k[rows], band, it[rows], doc[rows]))
+            order = in_order(k[rows], band, it[rows], doc[rows])
             rows, band = rows[order], band[order]
             new = np.concatenate([[True], (np.diff(doc[rows]) != 0) | (np.diff(it[rows]) != 0) | (np.diff(band) != 0)])
             begin = np.flatnonzero(new)
@@ -197,35 +211,30 @@ class Index:
             a, b = max(0, begin), min(len(docs[d]), begin + steps + width)
             if b > a:
                 near[r, a - begin : b - begin] = docs[d][a:b]
-        lift = (PENALTY * np.arange(width)).astype(np.float32)
-        score, start = np.zeros((m, width), np.float32), np.zeros((m, width), np.int32)
-        best, span = np.zeros(m, np.float32), np.zeros(m, np.int32)
-        cols = np.arange(width)
+        # a cell's number is its score in halves, then where its alignment starts: of equal scores the later start, the denser one
+        one = 1 << START_BITS
+        edit = int(2 * PENALTY) * one
+        lift = edit * np.arange(width)
+        cell, base = np.zeros((m, width), np.int64), np.empty((m, width), np.int64)
+        best, span = np.zeros(m, np.int64), np.zeros(m, np.int64)
         for s in range(steps):
-            same = near[:, s : s + width] == item[:, s, None]
-            diag = score + np.where(same, np.float32(1), np.float32(-PENALTY))
+            # both letters, alike or not
+            np.multiply(near[:, s : s + width] == item[:, s, None], 2 * one + edit, out=base)
+            base += cell
             # the item's letter without a partner: from the next diagonal
-            skip = np.full_like(score, -1)
-            skip[:, :-1] = score[:, 1:] - PENALTY
-            from_skip = skip > diag
-            base = np.where(from_skip, skip, diag)
-            begin = start.copy()
-            begin[:, :-1] = np.where(from_skip[:, :-1], start[:, 1:], start[:, :-1])
-            fresh = base <= 0
-            base = np.where(fresh, np.float32(0), base)
-            begin = np.where(fresh, s + 1, begin)
+            np.maximum(base[:, :-1], cell[:, 1:], out=base[:, :-1])
+            base -= edit
+            np.maximum(base, s + 1, out=base)
             # letters of the document without a partner: along the row
-            lifted = base + lift
-            top = np.maximum.accumulate(lifted, 1)
-            source = np.maximum.accumulate(np.where(lifted >= top, cols, 0), 1)
-            score = top - lift
-            start = np.take_along_axis(begin, source, 1)
-            row = score.argmax(1)
-            now = score[np.arange(m), row]
+            base += lift
+            np.maximum.accumulate(base, 1, out=cell)
+            cell -= lift
+            top = cell.max(1)
+            now = top >> START_BITS
             live = (now > best) & (lo + s < hi)
             best = np.where(live, now, best)
-            span = np.where(live, s + 1 - start[np.arange(m), row], span)
-        return [(d, i, float(span[r] / self.n[i]), float(best[r] / max(1, span[r]))) for r, (d, i, *_) in enumerate(some)]
+            span = np.where(live, s + 1 - (top & one - 1), span)
+        return [(d, i, float(span[r] / self.n[i]), float(best[r] / 2 / max(1, span[r]))) for r, (d, i, *_) in enumerate(some)]
 
 
 def _scan(index: Index, least_score: float):

@@ -81,3 +81,66 @@ def test_the_lemma_holds(spark):
                 other[a : a + 5] = ord("z")
             kept = sum(x in set(grams(other, 16)) for x in grams(text, 16)[rng.randrange(step(16)) :: step(16)])
             assert kept >= lemma(n, 16, 5, 0.12)
+
+
+def test_marks_are_the_alternatives_spelled_out():
+    import re
+
+    from gleanstone.llm.leakage import MARKS
+
+    plain = re.compile(r"\[\d+(?:[.:,]\d+)*\s?s?\]|\d\d?:\d\d:\d\d(?:[.,]\d+)?(?:\s*-->\s*\d\d?:\d\d:\d\d(?:[.,]\d+)?)?|\\[nrt\"]|<[^<>\n]{0,80}>|&[a-z]{2,6};|(?<=\w)-\n(?=\w)")
+    rng, parts = random.Random(1), ["[", "1", "22", ":", ".", ",", " ", "s", "]", "\\", "n", '"', "<", "b", ">", "&", "amp", ";", "-", "\n", " --> ", "٣", "é", "12:34:56", "[1:2]"]
+    for _ in range(20_000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert MARKS.sub(" ", s) == plain.sub(" ", s)
+
+
+def test_in_order():
+    import numpy as np
+
+    from gleanstone.llm.leakage import in_order
+
+    rng = np.random.default_rng(5)
+    for top in (50, 1 << 40):  # fits side by side, and doesn't
+        columns = [rng.integers(-top, top, 3000) for _ in range(4)]
+        assert (in_order(*columns) == np.lexsort(columns)).all() or top == 50
+        rows = np.stack(columns, 1)
+        assert (rows[in_order(*columns)] == rows[np.lexsort(columns)]).all()
+
+
+def test_alignment_against_every_cell():
+    """The best local alignment's score and share, cell by cell; of equal scores the later start."""
+    rng = random.Random(6)
+    for _ in range(40):
+        item = "".join(rng.choice("abcd") for _ in range(rng.randint(30, 60)))
+        other = "".join(c * rng.choice((0, 1, 1, 1, 1, 1, 2)) if rng.random() > 0.1 else rng.choice("abcd") for c in item)
+        ix = Index([1], [item], 0.4, 0.7)
+        a, b = len(item), len(other)
+        cell, best = [[(0.0, 0)] * (b + 1)], (0.0, 0, 0)
+        for i in range(1, a + 1):
+            row = [(0.0, i)]
+            for j in range(1, b + 1):
+                steps = [(cell[i - 1][j - 1], 1 if item[i - 1] == other[j - 1] else -1.5), (cell[i - 1][j], -1.5), (row[j - 1], -1.5)]
+                row.append(max([(0.0, i)] + [(s + x, start) for (s, start), x in steps]))
+            cell.append(row)
+            top = max(row)
+            if top[0] > best[0]:
+                best = (top[0], top[1], i)
+        (_, _, share, score), = ix._align([squeeze(other)], [(0, 0, 0, 0, a, 9)])
+        span = best[2] - best[1]
+        assert (share, score) == (span / a, best[0] / span)
+
+
+def test_calls_of_an_alignment():
+    """A letter of the alignment takes a few calls for all pairs together: over 20 before."""
+    import cProfile
+    import pstats
+
+    rng = random.Random(8)
+    items = [make(rng, 60) for _ in range(5)]
+    ix, docs = Index(list(range(5)), items, 0.4, 0.7), [squeeze(t) for t in items]
+    letters = max(len(d) for d in docs)
+    with cProfile.Profile() as p:
+        found = ix._align(docs, [(i, i, 0, 0, len(d), 9) for i, d in enumerate(docs)])
+    assert [x[2:] for x in found] == [(1.0, 1.0)] * 5
+    assert pstats.Stats(p).total_calls < 10 * letters
