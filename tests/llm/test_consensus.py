@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -66,3 +67,48 @@ def test_every_spelling_is_looked_up_once(spark):
     got = [r["k"] for r in C.spelled_once(spark.createDataFrame(rows, "label string"), "label", forms, "k").orderBy("label").collect()]
     want = [r["k"] for r in spark.createDataFrame(rows, "label string").orderBy("label").select(C.spelled(C.plain_label(F.col("label")), forms).alias("k")).collect()]
     assert got == want and got.count(None) == 2
+
+
+def _plans(spark, act):
+    """The plans that the driver makes during ``act``."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def made():
+        bus.waitUntilEmpty(30_000)
+        every = store.executionsList()
+        return {(x := every.apply(i)).executionId(): x.physicalPlanDescription() for i in range(every.size())}
+
+    before = made()
+    act()
+    return [plan for k, plan in made().items() if k not in before]
+
+
+def test_rounds_of_a_small_model_plan_no_join(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(str(i), r, rng.randrange(12)) for i in range(40) for r in "abcd"], "item string, rater string, label int")
+    few, many = (_plans(spark, lambda n=n: C.fit(df, 12, rounds=n, tolerance=0.0)) for n in (2, 6))
+    assert len(many) == len(few) + 4  # one for each round
+    assert sum("Join" in p for p in many) == sum("Join" in p for p in few)
+
+
+def test_posteriors_and_confusion_are_those_of_plain_loops(spark):
+    rng, classes, rounds = random.Random(5), 3, 4
+    votes = [(i, r, i % 3 if rng.random() < 0.7 else rng.randrange(3)) for i in range(30) for r in rng.sample("abcde", 3)]
+    known = {"a": (0.9, 20.0), "b": (0.3, 5.0)}
+    own = {r: known.get(r, (0.6, 4.0)) for r in "abcde"}
+    prior = lambda r, j, k: own[r][1] * (own[r][0] if j == k else (1 - own[r][0]) / 2)
+    psi = lambda x: (math.lgamma(x + 1e-5) - math.lgamma(x - 1e-5)) / 2e-5
+    by = {i: [(r, j) for x, r, j in votes if x == i] for i in range(30)}
+    q = {i: [sum(j == k for _, j in v) / len(v) for k in range(classes)] for i, v in by.items()}
+    for _ in range(rounds + 1):
+        n = {(r, j, k): sum(q[i][k] for i, s, label in votes if (s, label) == (r, j)) for r in "abcde" for j in range(classes) for k in range(classes)}
+        t = {(r, k): sum(n[r, j, k] for j in range(classes)) for r in "abcde" for k in range(classes)}
+        for i, v in by.items():
+            x = [psi(1 + sum(t[r, k] for r in "abcde")) + sum(psi(prior(r, j, k) + n[r, j, k]) - psi(own[r][1] + t[r, k]) for r, j in v) for k in range(classes)]
+            q[i] = [math.exp(y - max(x)) / sum(math.exp(z - max(x)) for z in x) for y in x]
+    fits = [C.fit(spark.createDataFrame(votes, "item int, rater string, label int"), classes, spark.createDataFrame([(r, *x) for r, x in known.items()], "rater string, accuracy double, weight double"), rounds=rounds, tolerance=0.0, small=s) for s in (C.SMALL_MODEL, 0)]
+    for fit in fits:
+        got = {r["item"]: r["q"] for r in fit.posterior.collect()}
+        assert got.keys() == q.keys() and all(abs(x - y) < 1e-5 for i in q for x, y in zip(got[i], q[i]))
+        rows = {(r["rater"], r["truth"]): r["row"] for r in fit.confusion.collect()}
+        assert len(rows) == 15 and all(abs(rows[r, k][j] - prior(r, j, k) - x) < 1e-5 for (r, j, k), x in n.items())
